@@ -6,7 +6,7 @@ null partials, which null nothing else: sums skip them.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.lattice import grid_cell
@@ -132,37 +132,43 @@ def merge_histograms(*parts: DataFrame) -> DataFrame:
     return bins_as_array(rows.select(*KEY, F.posexplode("bins").alias("bin", "c")).where(F.col("c") > 0))
 
 
-def _sum(x: Column) -> Column:
-    return F.aggregate(x, F.lit(0).cast("long"), lambda a, b: a + b)
+PERCENTILES = (10, 25, 50, 75, 90, 95, 99)
 
 
-def bin_percentile(bins: Column, n: Column, p: int) -> Column:
-    """The bin in which the p-th part of n falls, with the fraction of that bin's points below it."""
-    goal = F.lit(p / 100.0) * n
-    below = F.transform(F.sequence(F.lit(0), F.lit(BINS - 1)), lambda i: _sum(F.slice(bins, F.lit(1), i)))
-    at = F.array_position(F.transform(F.sequence(F.lit(0), F.lit(BINS - 1)), lambda i: (F.get(below, i) + F.get(bins, i)) >= goal), True) - 1
-    at = at.cast("int")
-    own = F.get(bins, at)
-    part = F.when(own > 0, F.least(F.greatest((goal - F.get(below, at)) / own, F.lit(0.0)), F.lit(1.0))).otherwise(F.lit(0.5))
-    return at + part
+def vegetation_final(partial: DataFrame, canopy_threshold: float = 2.0, extinction: float = 0.5) -> DataFrame:
+    """Cover, leaf area, height diversity, strata and percentiles of each cell's height bins.
 
+    A percentile is the bin in which that part of the points falls, plus the fraction of that bin's
+    points below it. Empty bins play no part, so only bins with points are laid out as rows.
+    """
+    rows = partial.select(*KEY, F.posexplode("bins").alias("bin", "c")).where(F.col("c") > 0)
+    cell = Window.partitionBy(*KEY)
+    before = F.sum("c").over(cell.orderBy("bin").rowsBetween(Window.unboundedPreceding, -1))
+    rows = rows.select(*KEY, "bin", "c", F.sum("c").over(cell).alias("n"), F.coalesce(before, F.lit(0)).alias("below"))
+    c, n, bin_ = F.col("c"), F.col("n"), F.col("bin")
 
-def _entropy(parts: Column, n: Column) -> Column:
-    return F.aggregate(parts, F.lit(0.0), lambda a, c: a + F.when(c > 0, -(c / n) * F.ln(c / n)).otherwise(0.0))
+    def count(test: Column) -> Column:
+        return F.sum(F.when(test, c).otherwise(0))
 
+    def at(p: int) -> Column:
+        return F.min(F.when(F.col("below") + c >= F.lit(p / 100.0) * n, F.struct("bin", "below", "c"))).alias(f"__{p}")
 
-def vegetation_final(partial: DataFrame, canopy_threshold: float = 2.0, extinction: float = 0.5) -> DataFrame:
-    """Cover, leaf area, height diversity, strata and percentiles of each cell's height bins."""
-    bins, n = F.col("bins"), F.col("n")
-    rows = partial.withColumn("n", _sum(bins)).where(n > 0)
-    cover = _sum(F.slice(bins, int(canopy_threshold) + 1, BINS)) / n
-    strata = F.array(_sum(F.slice(bins, 1, 2)), _sum(F.slice(bins, 3, 8)), _sum(F.slice(bins, 11, BINS)))
-    rows = rows.select(*KEY, "bins", "n", cover.alias("cover"), strata.alias("strata"), *[bin_percentile(bins, n, p).alias(f"p{p}") for p in (10, 25, 50, 75, 90, 95, 99)])
-    c = F.col("cover")
-    lai = F.when(c <= 0, F.lit(0.0)).otherwise(F.least(F.lit(5.0), -F.ln(F.greatest(1 - c, F.lit(1e-9))) / F.lit(extinction)))
+    strata = {"low": bin_ < 2, "mid": (bin_ >= 2) & (bin_ < 10), "high": bin_ >= 10}
+    sums = rows.groupBy(*KEY).agg(F.first("n").alias("n"), count(bin_ >= int(canopy_threshold)).alias("canopy"), F.sum(-(c / n) * F.ln(c / n)).alias("fhd"), *[count(t).alias(k) for k, t in strata.items()], *map(at, PERCENTILES))
+
+    def value(p: int) -> Column:
+        part = (F.lit(p / 100.0) * n - F.col(f"__{p}.below")) / F.col(f"__{p}.c")
+        return (F.col(f"__{p}.bin") + F.least(F.greatest(part, F.lit(0.0)), F.lit(1.0))).alias(f"p{p}")
+
+    def entropy(k: str) -> Column:
+        return F.when(F.col(k) > 0, -(F.col(k) / n) * F.ln(F.col(k) / n)).otherwise(F.lit(0.0))
+
+    out = sums.select(*KEY, "n", "fhd", *strata, (F.col("canopy") / n).alias("cover"), *map(value, PERCENTILES))
+    cover = F.col("cover")
+    lai = F.when(cover <= 0, F.lit(0.0)).otherwise(F.least(F.lit(5.0), -F.ln(F.greatest(1 - cover, F.lit(1e-9))) / F.lit(extinction)))
     spread = F.col("p90") - F.col("p10")
-    return rows.select(
-        *KEY, n.alias("point_count"), c, lai.alias("lai"), (1 - c).alias("vci"), _entropy(bins, n).alias("fhd"), _entropy(F.col("strata"), n).alias("shannon_h"),
-        *[(F.get("strata", F.lit(i)) / n).alias(f"{name}_density") for i, name in enumerate(("low", "mid", "high"))],
-        "p10", "p25", "p50", "p75", "p90", "p95", "p99", F.when(spread != 0, (F.col("p90") - 2 * F.col("p50") + F.col("p10")) / spread).alias("l_skewness"),
+    return out.select(
+        *KEY, n.alias("point_count"), cover, lai.alias("lai"), (1 - cover).alias("vci"), "fhd", (entropy("low") + entropy("mid") + entropy("high")).alias("shannon_h"),
+        *[(F.col(k) / n).alias(f"{k}_density") for k in strata], *[f"p{p}" for p in PERCENTILES],
+        F.when(spread != 0, (F.col("p90") - 2 * F.col("p50") + F.col("p10")) / spread).alias("l_skewness"),
     )

@@ -97,7 +97,7 @@ def strip_agreement(points: DataFrame, cell: float = STRIP_CELL) -> DataFrame:
     flat = flat.join(flat.groupBy("cx", "cy").agg(F.min(m).alias("m0"), F.count(F.lit(1)).alias("k")).where(F.col("k") > 1), ["cx", "cy"])
     cells = flat.groupBy("cx", "cy").agg(F.count(F.lit(1)).alias("k"), F.sum(centre).alias("s"), F.sum(centre * centre).alias("q"))
     total = cells.agg(F.coalesce(F.sum(F.col("k") * (F.col("k") - 1) / 2), F.lit(0.0)).cast("long").alias("pairs"), F.sum(F.col("k") * F.col("q") - F.col("s") * F.col("s")).alias("sq"))
-    rms = F.sqrt(F.greatest(F.try_divide("sq", "pairs"), F.lit(0.0)))
+    rms = F.when(F.col("pairs") > 0, F.sqrt(F.greatest(F.try_divide("sq", "pairs"), F.lit(0.0))))
     return total.select("pairs", F.round(rms, 6).alias("rmsdz"), F.coalesce(F.round(rms, 6) <= STRIP_LIMIT, F.lit(False)).alias("ok"))
 
 
