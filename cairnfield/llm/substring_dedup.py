@@ -130,17 +130,18 @@ def _shared(rows: DataFrame, name: str) -> DataFrame:
     same = Window.partitionBy("h", "g")
     often = rows.withColumn("n", F.count(F.lit(1)).over(same)).where(F.col("twice") | (F.col("n") > 1))
     places = often.select("tid", "pos", "more").mapInArrow(_places, "tid long, pos int")
-    out = materialise(places.groupBy("tid").agg(F.collect_list("pos").alias("places")), name)
-    release(rows.sparkSession)
-    return out
+    return materialise(places.groupBy("tid").agg(F.collect_list("pos").alias("places")), name)
 
 
 def repeated_windows(docs: DataFrame) -> DataFrame:
     """tid, places: starts of the windows whose words start elsewhere too, by text."""
     texts = docs.where(F.col("text").isNotNull()).select(F.xxhash64("text").alias("tid"), "text")
     anchors = _shared(texts.mapInArrow(_anchors, PLACES), "anchors")
-    found = texts.join(anchors.hint("shuffle_hash"), "tid")
-    return _shared(found.mapInArrow(_windows, PLACES), "windows")
+    # No plan of the first phase is held any more, so its shuffle files can go.
+    release(docs.sparkSession)
+    windows = _shared(texts.join(anchors.hint("shuffle_hash"), "tid").mapInArrow(_windows, PLACES), "windows")
+    release(docs.sparkSession)
+    return windows
 
 
 def _keep(text: bytes | None, places: list[int] | None) -> tuple[list[bytes], int]:
@@ -162,7 +163,8 @@ def dedup(docs: DataFrame, out: str = "digest") -> DataFrame:
     own columns, the text of a row that lost words replaced by its kept words, joined by one
     space; other texts stay as they are.
     """
-    ids = [c for c in docs.columns if c != "text"] if out == "text" else ["doc_id"]
+    columns = docs.columns
+    ids = [c for c in columns if c != "text"] if out == "text" else ["doc_id"]
     left = docs.select(*ids, "text", F.xxhash64("text").alias("__tid"))
     right = repeated_windows(docs).select(F.col("tid").alias("__tid"), F.col("places").alias("__places"))
     rows = left.join(right.hint("shuffle_hash"), "__tid", "left").select(*ids, "text", "__places")
@@ -181,7 +183,7 @@ def dedup(docs: DataFrame, out: str = "digest") -> DataFrame:
         for b in batches:
             new = [b" ".join(_keep(t, p)[0]) if p else t for t, p in zip(binary(b.column("text")), b.column("__places").to_pylist(), strict=True)]
             cols = {c: b.column(c) for c in ids} | {"text": pa.array(new, pa.binary()).cast(pa.string())}
-            yield pa.RecordBatch.from_arrays([cols[c] for c in docs.columns], names=docs.columns)
+            yield pa.RecordBatch.from_arrays([cols[c] for c in columns], names=columns)
 
     if out == "text":
         return rows.mapInArrow(text, docs.schema)
