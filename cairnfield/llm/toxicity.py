@@ -4,8 +4,9 @@ Terms of a text are its distinct words, lower-cased and stripped of punctuation,
 and their leading five characters, hashed to 64 bits; a term's value is 1. The
 score is the logistic of w0 + sum w_i + sum_{i<j} <v_i, v_j>, whose pairwise part
 takes one pass: half of |sum v_i|^2 - sum |v_i|^2. Terms that the sample holds
-in fewer than ``min_docs`` documents have no weight, so a rare term can't collide
-with a telling one; the kept terms are at most ``max_terms``, the broadcast's bound.
+in fewer than ``min_docs`` documents, or whose share of positive documents is within
+``min_gap`` deviations of chance, have no weight, so noise of long texts doesn't add up; the
+kept terms are at most ``max_terms``, the broadcast's bound.
 
 Only the fit sees labels, on a bounded sample of the labelled training rows; the
 scores cover every whole text.
@@ -76,7 +77,7 @@ def sigmoid(z: np.ndarray) -> np.ndarray:
     return 1 / (1 + np.exp(-np.clip(z, -500, 500)))
 
 
-def fit(terms: np.ndarray, offsets: np.ndarray, y: np.ndarray, min_docs: int = 3, max_terms: int = 1 << 17, rank: int = 4, epochs: int = 12, seed: int = 7) -> Model:
+def fit(terms: np.ndarray, offsets: np.ndarray, y: np.ndarray, min_docs: int = 3, min_gap: float = 3.0, max_terms: int = 1 << 17, rank: int = 4, epochs: int = 30, seed: int = 7) -> Model:
     """AdaGrad over minibatches of documents; terms are ordered by how well they separate the classes."""
     n = len(y)
     prior = float(np.log((y.sum() + 1) / (n - y.sum() + 1)))
@@ -87,7 +88,7 @@ def fit(terms: np.ndarray, offsets: np.ndarray, y: np.ndarray, min_docs: int = 3
     positive = np.bincount(inverse, y[row], len(kinds))
     share = y.mean()
     gap = np.abs(positive - docs * share) / np.sqrt(docs * share * (1 - share) + 1)
-    keep = np.flatnonzero(docs >= min_docs)
+    keep = np.flatnonzero((docs >= min_docs) & (gap >= min_gap))
     keep = np.sort(keep[np.argsort(-gap[keep], kind="stable")[:max_terms]])
     new = np.full(len(kinds), -1)
     new[keep] = np.arange(len(keep))
