@@ -347,6 +347,14 @@ def veg_hist_merged(spark, sf_dir):
     return metrics.merge_histograms(v, v).select("cell_col", "cell_row", F.posexplode("bins").alias("bin", "n")).where("n > 0").select("cell_col", "cell_row", F.col("bin").cast("long").alias("bin"), "n")
 
 
+@query(f"""with {P}, {_LOW}, veg as (select cast(floor(x / 10e0) as bigint) as cell_col, cast(floor(y / 10e0) as bigint) as cell_row, cast(floor(least(greatest(z - value, 0e0), 60e0)) as bigint) as bin
+  from (select *, cast(floor((200e0 - y) / 10e0) as bigint) as row, cast(floor(x / 10e0) as bigint) as col from points where {SEEN} and classification not in (2, 7, 18)) join low using (row, col))
+  select cell_col, cell_row, bin, count(*) as n from veg group by 1, 2, 3""")
+def veg_dtm_normalised(spark, sf_dir):
+    v = metrics.vegetation_partial(metrics.vegetation_above(line_points(spark, sf_dir), _low(spark, sf_dir), CELLS), 10.0)
+    return v.select("cell_col", "cell_row", F.posexplode("bins").alias("bin", "n")).where("n > 0").select("cell_col", "cell_row", F.col("bin").cast("long").alias("bin"), "n")
+
+
 # --- tiling --------------------------------------------------------------------------------
 
 

@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.lattice import grid_cell
+from ..functions.lattice import Raster, grid_cell
 from .points import GROUND, NOISE, has
 
 #: Classes that are counted one by one; the dominant class is the first of the commonest.
@@ -110,6 +110,15 @@ def vegetation_heights(points: DataFrame, tile: tuple[str, ...] = ("tile_col", "
     return points.where(wanted).join(level, list(tile)).withColumn("h", F.col("z") - F.col("__ground")).drop("__ground")
 
 
+def vegetation_above(points: DataFrame, terrain: DataFrame, raster: Raster, classes: tuple[int, ...] = ()) -> DataFrame:
+    """As vegetation_heights, but above a terrain raster: the cell that holds the point. Points without one are left out."""
+    points = kept(points)
+    wanted = F.col("classification").isin(*[c for c in classes if c != GROUND]) if classes else ~F.col("classification").isin(GROUND, *NOISE)
+    at = points.where(wanted).select("*", raster.row(F.col("y")).alias("__row"), raster.col(F.col("x")).alias("__col"))
+    level = terrain.select(F.col("row").alias("__row"), F.col("col").alias("__col"), F.col("value").alias("__ground"))
+    return at.join(level, ["__row", "__col"]).withColumn("h", F.col("z") - F.col("__ground")).drop("__row", "__col", "__ground")
+
+
 def vegetation_partial(heights: DataFrame, res: float = 1.0) -> DataFrame:
     """Counts of one-metre height bins 0..60 of each cell, as an array; lower and higher heights are clipped."""
     col, row = grid_cell(F.col("x"), F.col("y"), res)

@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 
 from ..functions.lattice import Raster, Tiles
 from ..operators import ground, metrics, neighbours, points, raster, surfaces, tables, tiling
+from ..operators.tables import consolidate_tables, consolidate_vectors
 
 
 @dataclass(frozen=True)
@@ -78,18 +79,21 @@ node("classify_ground", PTS, {"points": "classified_point_cloud"}, method="pmf")
 
 
 def _raster_node(id: str, output: str, run, **defaults) -> None:
-    def go(spark, points, res, **s):
+    """fill (metres), sigma (cells) and median (cells) finish the raster, which is then cropped."""
+
+    def go(spark, points, res, fill, sigma, median, **s):
         r = cover(points, res)
-        return {"raster": (r, run(points, r, **s))}
+        cells = run(points, r, **s)
+        return {"raster": raster.finish(cells, r, fill, sigma, median) if fill or sigma or median else (r, cells)}
 
-    node(id, PTS, {"raster": output}, **defaults)(go)
+    node(id, PTS, {"raster": output}, **({"fill": 0.0, "sigma": 0.0, "median": 0} | defaults))(go)
 
 
-_raster_node("generate_dtm", "dtm_mosaic", lambda p, r, how: surfaces.dtm(p, r, how, ("tile_col", "tile_row")), res=1.0, how="min")
-_raster_node("generate_dsm", "dsm_mosaic", lambda p, r, how: surfaces.dsm(p, r, how), res=1.0, how="max")
+_raster_node("generate_dtm", "dtm_mosaic", lambda p, r, how: surfaces.dtm(p, r, how, ("tile_col", "tile_row")), res=1.0, how="min", fill=3.0, sigma=1.0)
+_raster_node("generate_dsm", "dsm_mosaic", lambda p, r, how: surfaces.dsm(p, r, how), res=1.0, how="max", fill=1.5, sigma=0.5)
 _raster_node("canopy_penetration", "canopy_penetration", lambda p, r: surfaces.canopy_penetration(p.where("is_core"), r), res=1.0)
 _raster_node("flightline_coverage", "coverage_raster", lambda p, r, mode: surfaces.flightline_coverage(p.where("is_core"), r, mode), res=1.0, mode="coverage")
-_raster_node("intensity_ortho", "intensity_ortho", lambda p, r, normalise, most_angle: surfaces.intensity_ortho(p, r, normalise, most_angle), res=0.5, normalise=True, most_angle=60.0)
+_raster_node("intensity_ortho", "intensity_ortho", lambda p, r, normalise, most_angle: surfaces.intensity_ortho(p, r, normalise, most_angle), res=0.5, normalise=True, most_angle=60.0, median=3)
 
 
 @node("generate_chm", {"dsm": "dsm_mosaic", "dtm": "dtm_mosaic"}, {"raster": "chm_mosaic"}, low=0.0, high=60.0, pit_free=False)
@@ -151,6 +155,48 @@ def _raster(spark, path):
     return {"raster": (r, cells.where("band = 1").drop("band"))}
 
 
+@node("input_multispectral", {}, {"raster": "raster"}, path="")
+def _multispectral(spark, path):
+    """A raster whose table has a column for each band."""
+    from ..sources.grids import read_geotiff
+
+    r, cells, _ = read_geotiff(spark, path)
+    n = cells.agg(F.max("band")).first()[0] or 0
+    if n < 2:
+        raise ValueError("a multispectral raster has two bands at least")
+    return {"raster": (r, cells.groupBy("row", "col").pivot("band", list(range(1, n + 1))).agg(F.first("value")).toDF("row", "col", *[f"b{i + 1}" for i in range(n)]))}
+
+
+@node("vegetation_index", {"bands": "raster"}, {"raster": "raster"}, index="ndvi", blue=1, green=2, red=3, edge=4, nir=5, a=1, b=2, soil=0.5)
+def _index(spark, bands, index, soil, **use):
+    return {"raster": (bands[0], raster.vegetation_index(bands[1], index, use, soil))}
+
+
+@node("file_info", PTS, {"table": "table"})
+def _info(spark, points):
+    from ..operators import report
+
+    return {"table": report.with_shape(report.summary(points.where("is_core")))}
+
+
+for _kind in ("table", "vector"):
+    node(f"consolidate_{_kind}", {"tables": _kind}, {"table": _kind}, many=("tables",))(lambda spark, tables, f=_kind: {"table": (consolidate_vectors if f == "vector" else consolidate_tables)(*tables)})
+
+
+@node("consolidate_vegetation", {"tables": "grid_vegetation"}, {"table": "grid_vegetation"}, many=("tables",))
+def _consolidate_vegetation(spark, tables):
+    return {"table": consolidate_vectors(*tables)}
+
+
+@node("export_points", PTS, {}, path="", crop_buffer=True)
+def _export_points(spark, points, path, crop_buffer):
+    from ..sources.sinks import export_points
+
+    if path:
+        export_points([points], path, crop_buffer)
+    return {}
+
+
 @node("concatenate_tables", {"tables": "table"}, {"table": "table"}, many=("tables",))
 def _concatenate(spark, tables_=None, tables=()):
     from ..operators.tables import concatenate

@@ -24,7 +24,7 @@ def cloud(spark, tmp_path):
 
 
 def test_classify_and_grid(spark, cloud):
-    g = Graph.parse(project([("a", "load_points", {"path": cloud, "tile_size": 20.0, "buffer": 3.0}), ("b", "classify_ground", {}), ("c", "grid_metrics", {"res": 10.0}), ("d", "generate_dtm", {"res": 10.0}), ("e", "terrain_slope", {})],
+    g = Graph.parse(project([("a", "load_points", {"path": cloud, "tile_size": 20.0, "buffer": 3.0}), ("b", "classify_ground", {}), ("c", "grid_metrics", {"res": 10.0}), ("d", "generate_dtm", {"res": 10.0, "fill": 0, "sigma": 0}), ("e", "terrain_slope", {})],
                             [("a", "b", "point_cloud", "point_cloud"), ("b", "c", "classified_point_cloud", "point_cloud"), ("b", "d", "classified_point_cloud", "point_cloud"), ("d", "e", "dtm_mosaic", "dtm_mosaic")]))
     assert g.problems() == []
     out = g.compile(spark)
@@ -94,3 +94,19 @@ def test_stream_equals_batch(spark, cloud, tmp_path):
     got = queue.current(spark, str(tmp_path / "parts"), 10.0).orderBy("gid").toPandas()
     want = metrics.grid_metrics(whole, 10.0).orderBy("gid").toPandas()
     pd.testing.assert_frame_equal(got, want)
+
+
+def test_bands_and_reports(spark, cloud, tmp_path):
+    from cairnfield.functions.lattice import Raster
+    from cairnfield.sources import grids
+
+    r = Raster(0.0, 2.0, 1.0, 2, 2)
+    cells = spark.createDataFrame([(0, 0, 1.0)], "row long, col long, value double")
+    grids.write_geotiff(cells, r, str(tmp_path / "one.tif"))
+    g = Graph.parse(project([("a", "input_multispectral", {"path": str(tmp_path / "one.tif")})], []))
+    with pytest.raises(ValueError):
+        g.compile(spark)
+    g = Graph.parse(project([("a", "load_points", {"path": cloud}), ("b", "file_info", {}), ("c", "export_points", {"path": str(tmp_path / "out")}), ("d", "generate_dsm", {"res": 5.0})], [("a", "b", "point_cloud", "point_cloud"), ("a", "c", "point_cloud", "point_cloud"), ("a", "d", "point_cloud", "point_cloud")]))
+    out = g.compile(spark)
+    assert out["b"]["table"].first()["point_count"] == 400 and spark.read.parquet(str(tmp_path / "out")).count() == 400
+    assert out["d"]["raster"][1].count() == 64
