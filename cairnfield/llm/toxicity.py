@@ -124,7 +124,7 @@ def fit(terms: np.ndarray, offsets: np.ndarray, y: np.ndarray, min_docs: int = 3
     return Model(kinds[keep], b, w.astype(np.float32), v.astype(np.float32))
 
 
-def train(docs: DataFrame, labels: DataFrame, in_training: Column, max_rows: int = 16_000, **options) -> Model:
+def train(docs: DataFrame, labels: DataFrame, in_training: Column, max_rows: int = 8_000, **options) -> Model:
     """Fit on max_rows labelled training rows or so: documented bound of the sample, by a hash of doc_id.
 
     The sampled labels are broadcast (max_rows bounds them), so texts aren't shuffled.

@@ -12,10 +12,11 @@ from itertools import count
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql.types import StructType
 
 #: Bytes of text that are held as words at once; a longer text makes a chunk of its own.
-CHUNK_BYTES = 16 << 20
+CHUNK_BYTES = 8 << 20
 
 
 def binary(column) -> list[bytes | None]:
@@ -26,16 +27,15 @@ def binary(column) -> list[bytes | None]:
 def chunks(batches: Iterator[pa.RecordBatch], text: str, chunk_bytes: int = CHUNK_BYTES) -> Iterator[tuple[pa.RecordBatch, list[bytes | None]]]:
     """Slices of the batches with chunk_bytes of text at most (or one row)."""
     for batch in batches:
-        texts = binary(batch.column(text))
+        column = batch.column(text)
         start = size = 0
-        for i, t in enumerate(texts):
-            n = len(t or b"")
+        for i, n in enumerate(pc.fill_null(pc.binary_length(column), 0).to_pylist()):
             if i > start and size + n > chunk_bytes:
-                yield batch.slice(start, i - start), texts[start:i]
+                yield batch.slice(start, i - start), binary(column.slice(start, i - start))
                 start, size = i, 0
             size += n
-        if start < len(texts):
-            yield batch.slice(start), texts[start:]
+        if start < batch.num_rows:
+            yield batch.slice(start), binary(column.slice(start))
 
 
 def encode(texts: list[bytes | None], lower: bool = False) -> tuple[np.ndarray, np.ndarray, list[bytes]]:
