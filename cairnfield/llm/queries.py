@@ -113,6 +113,31 @@ select d.doc_id, cast(len(w) as bigint) as n_words, cast(len(w) - coalesce(n, 0)
 from d left join kept on kept.doc_id = d.doc_id
 """
 
+#: By brute force over all windows that share a shingle with an item; items of five words and more.
+_LEAK_SQL = r"""
+with lows as (
+  select 'd' as side, doc_id as id, translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') as t from documents
+  union all select 'b', item_id, translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') from benchmark
+), w as (
+  select side, id, regexp_extract_all(t, '[^\x20\x09-\x0D]+') as w from lows
+), s as (
+  select side, id, len(w) as n, i - 1 as i, md5(array_to_string(w[i : i + 4], ' ')) as k from (select side, id, w, unnest(range(1, len(w) - 3)) as i from w where len(w) >= 5)
+), item as (
+  select id as item_id, n, k, count(*) as c from s where side = 'b' group by 1, 2, 3
+), hit as (
+  select distinct d.id as doc_id, item.item_id, d.n as words, item.n, d.i from s d join item on item.k = d.k where d.side = 'd'
+), win as (
+  select distinct doc_id, item_id, n, unnest(range(greatest(i - n + 5, 0), least(i, words - n) + 1)) as start from hit
+), held as (
+  select win.doc_id, win.item_id, win.n, win.start, s.k, count(*) as c from win join s on s.side = 'd' and s.id = win.doc_id and s.i >= win.start and s.i < win.start + win.n - 4 group by all
+), shared as (
+  select h.doc_id, h.item_id, h.start, 2 * (h.n - 4) as total, sum(least(h.c, item.c)) as common from held h join item on item.item_id = h.item_id and item.k = h.k group by all
+), best as (
+  select doc_id, item_id, start, cast(common as double) / cast(total - common as double) as similarity, row_number() over (partition by doc_id, item_id order by cast(common as double) / cast(total - common as double) desc, start) as r from shared
+)
+select doc_id, item_id, cast(start as integer) as start, similarity from best where r = 1 and similarity >= 0.8
+"""
+
 #: The table is filled one claim at a time: st holds owners by slot, and how far down its list each shard is.
 _SHARD_SQL = f"""
 with recursive pref as (
@@ -133,4 +158,4 @@ with recursive pref as (
 select doc_id, cast(docs.slot as integer) as slot, 'shard-' || lpad(cast(i as varchar), 2, '0') as shard from docs join owner on owner.slot = docs.slot
 """
 
-ORACLE_SQL = {"op3_url_filters": _URL_SQL, "op4_substring_dedup": _SUBSTRING_SQL, "op9_sharding": _SHARD_SQL}
+ORACLE_SQL = {"op3_url_filters": _URL_SQL, "op4_substring_dedup": _SUBSTRING_SQL, "op7_decontamination": _LEAK_SQL, "op9_sharding": _SHARD_SQL}
