@@ -18,6 +18,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import BooleanType
 
 from . import wkt
+from .tables import ranked
 
 GROUND, LOW_NOISE, HIGH_NOISE = 2, 7, 18
 NOISE = (LOW_NOISE, HIGH_NOISE)
@@ -103,19 +104,27 @@ def decimate(points: DataFrame, order: str = "point_id", by: tuple[str, ...] = (
     """
     if mode == "ratio" and ratio >= 100:
         return points
-    tile = Window.partitionBy(*by) if by else Window.partitionBy(F.lit(0))
-    n = F.count(F.lit(1)).over(tile)
+    draw = salt if salt is not None else F.xxhash64(F.lit(seed), *by, order)
+    points = points.withColumn("__draw", draw)
+    ordering = [order] if strategy == "nth" else ["__draw", order]
+    if by:
+        tile = Window.partitionBy(*by)
+        n = F.count(F.lit(1)).over(tile)
+        at = F.row_number().over(tile.orderBy(*ordering)) - 1
+    else:
+        # Without tiles all points are one; they are ranked without meeting in one task.
+        points = ranked(points, ordering, "__rank")
+        n, at = F.lit(points.count()), F.col("__rank")
     if mode == "ratio":
         step = F.lit(max(2, round(100 / ratio))).cast("long") if ratio > 0 else n
     else:
         step = F.greatest(F.lit(1), F.ceil(n / target)).cast("long")
-    draw = salt if salt is not None else F.xxhash64(F.lit(seed), *by, order)
-    at = (F.row_number().over(tile.orderBy(*([order] if strategy == "nth" else [draw, order]))) - 1).cast("long")
-    rows = points.select("*", at.alias("__at"), step.alias("__step"), n.alias("__n"))
+    columns = [c for c in points.columns if not c.startswith("__")]
+    rows = points.select(*columns, at.cast("long").alias("__at"), step.alias("__step"), n.alias("__n"))
     keep = F.col("__at") % F.col("__step") == 0 if strategy == "nth" else F.col("__at") < F.ceil(F.col("__n") / F.col("__step"))
     if has(points, "key_point"):
         keep = keep | F.coalesce(F.col("key_point"), F.lit(False))
-    return rows.where(keep).select(*points.columns)
+    return rows.where(keep).select(*columns)
 
 
 def sample(points: DataFrame, k: int, score: Column, order: str = "point_id") -> DataFrame:

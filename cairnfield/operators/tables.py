@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..session import materialise
+
 
 def as_text(table: DataFrame) -> DataFrame:
     return table.select(*[F.col(c).cast("string").alias(c) for c in table.columns])
@@ -47,6 +49,19 @@ def ordered_by_gid(table: DataFrame) -> DataFrame:
     return table.orderBy("gid")
 
 
+def ranked(table: DataFrame, order: list[str], name: str = "rank") -> DataFrame:
+    """table with each row's place (from 0) in the order of all rows, without putting them into one task.
+
+    Rows are dealt by range and written, ranges get prefix sums of their counts (one number each), and rows are numbered
+    within their range.
+    """
+    dealt = materialise(table.repartitionByRange(*order).withColumn("__part", F.spark_partition_id()), "ranges")
+    before = Window.orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)
+    bases = dealt.groupBy("__part").count().select("__part", F.coalesce(F.sum("count").over(before), F.lit(0)).alias("__base"))
+    at = F.row_number().over(Window.partitionBy("__part").orderBy(*order)) - 1
+    return dealt.join(F.broadcast(bases), "__part").select(*table.columns, (F.col("__base") + at).cast("long").alias(name))
+
+
 def numbered(table: DataFrame, order: list[str], by: list[str], name: str = "fid") -> DataFrame:
     """Row numbers within each group of by."""
     return table.withColumn(name, F.row_number().over(Window.partitionBy(*by).orderBy(*order)))
