@@ -7,7 +7,8 @@ fitted to a loss in which the residual's part along the vector, the one that
 disturbs great inner products, weighs ``eta`` times as much as the rest. A
 query makes a table of 16 products for each subspace; two tables make one of 256
 for a byte of codes, and a candidate's score is a sum of look-ups plus its exact
-norm. The best ``rerank`` of every block get exact distances in double precision.
+norm. The best ``rerank`` of every block get exact distances in double precision, and so do all others that the
+tables' error leaves in reach of the k-th: in a crowd of near-equal vectors that is the crowd.
 
 Queries meet all candidates, in blocks of bounded size. Of equal vectors only the
 k + 1 smallest ids can be among a query's k nearest (ties go to the smaller id),
@@ -38,6 +39,7 @@ class Codebook:
     dim: int
     centres: np.ndarray  # subspaces x CODES x WIDTH
     eta: float
+    slack: float = 0.0  # by which a squared distance from tables may be too great: three deviations
 
 
 def padded(x: np.ndarray) -> np.ndarray:
@@ -87,6 +89,10 @@ def train(x: np.ndarray, threshold: float = 0.2, rounds: int = 6, seed: int = 5)
                 if own.any():
                     book.centres[j, c] = np.linalg.solve(outer[own].sum(0), rhs[own].sum(0))
     book.centres = book.centres.astype(np.float32)
+    codes = assign(x, book)
+    residual = x - np.take_along_axis(book.centres, codes.T[:, :, None], 1).transpose(1, 0, 2).reshape(x.shape)
+    asked = x[rng.integers(0, len(x), 256)]
+    book.slack = 3 * 2 * float(max((asked @ residual[:2048].T).std(), np.sqrt(((x * residual).sum(1) ** 2).mean())))
     return book
 
 
@@ -103,10 +109,21 @@ def search_block(book: Codebook, queries: np.ndarray, query_ids: np.ndarray, x:
             score += np.take(tables[:, j], codes[:, j], axis=1)
         best = np.argpartition(-score, r - 1, axis=1)[:, :r] if r < len(x) else np.tile(np.arange(len(x)), (len(q), 1))
         for row, near in enumerate(best):
-            near = near[ids[near] != query_ids[lo + row]]
-            d = np.sqrt(((wide[near] - q[row].astype(np.float64)) ** 2).sum(1))
-            order = np.lexsort((ids[near], d))[:k]
-            yield query_ids[lo + row], ids[near][order], d[order]
+            own, here = query_ids[lo + row], q[row].astype(np.float64)
+            near, d = _exact(near, own, here, ids, wide, k)
+            # Whatever the tables' error leaves in reach of the k-th distance gets its exact one as well.
+            limit = d[k - 1] ** 2 if len(d) >= k else np.inf
+            more = np.flatnonzero(score[row] >= (here @ here - limit - book.slack) / 2)
+            near, d = _exact(np.union1d(near, more), own, here, ids, wide, k)
+            yield own, ids[near], d
+
+
+def _exact(rows: np.ndarray, own: int, q: np.ndarray, ids: np.ndarray, wide: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
+    """The k nearest of some rows, by distance and id, and their distances."""
+    rows = rows[ids[rows] != own]
+    d = np.sqrt(((wide[rows] - q) ** 2).sum(1))
+    order = np.lexsort((ids[rows], d))[:k]
+    return rows[order], d[order]
 
 
 def usable(table: DataFrame) -> DataFrame:

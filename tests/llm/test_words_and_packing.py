@@ -2,12 +2,13 @@ import zlib
 
 import numpy as np
 import pyarrow as pa
-from hypothesis import given
+from hypothesis import given, settings
 from hypothesis import strategies as st
 
 from cairnfield.llm import packing, words
 
 
+@settings(deadline=None)
 @given(st.lists(st.one_of(st.none(), st.text()), max_size=5))
 def test_words_are_runs_of_other_bytes(texts):
     import re
