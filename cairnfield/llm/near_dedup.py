@@ -31,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..session import materialise
+from ..session import broadcast_if_small, materialise, release
 from .components import components
 from .words import chunks, grown
 
@@ -64,16 +64,21 @@ def majority(h: np.ndarray) -> int:
     return int(np.packbits(votes * 2 > len(h), bitorder="little").view("<i8")[0])
 
 
-def with_fingerprint(docs: DataFrame, width: int, name: str = "fp") -> DataFrame:
-    """docs with one more column, the fingerprint of its column text."""
+def with_fingerprint(docs: DataFrame, width: int, name: str = "fp", name2: str | None = None) -> DataFrame:
+    """docs with one more column, the fingerprint of its column text; with name2 another 64 bits of it."""
     columns = docs.columns
+    names = [name, *([name2] if name2 else [])]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch, texts in chunks(batches, "text"):
-            prints = pa.array([majority(shingle_hashes(t, width)) for t in texts], pa.int64())
-            yield pa.RecordBatch.from_arrays([*batch.columns, prints], names=[*columns, name])
+            prints = []
+            for t in texts:
+                h = shingle_hashes(t, width)
+                prints.append((majority(h), majority(second(h)) if name2 else 0))
+            cols = [pa.array([p[k] for p in prints], pa.int64()) for k in range(len(names))]
+            yield pa.RecordBatch.from_arrays([*batch.columns, *cols], names=[*columns, *names])
 
-    return docs.mapInArrow(run, grown(docs.schema, f"{name} long"))
+    return docs.mapInArrow(run, grown(docs.schema, ", ".join(f"{n} long" for n in names)))
 
 
 def distances(x: np.ndarray, y) -> np.ndarray:
@@ -193,7 +198,11 @@ def classes(prints: DataFrame, radius: int = 4, keep: int = 2) -> DataFrame:
     component_id is the smallest doc_id of the class, first_fp that document's fingerprint.
     """
     each = materialise(prints.groupBy("fp").agg(F.min("doc_id").alias("least")), "prints")
-    roots = components(links(each, radius, keep))
+    return named(each, components(links(each, radius, keep)))
+
+
+def named(each: DataFrame, roots: DataFrame) -> DataFrame:
+    """fp, component_id, first_fp of fingerprints (fp, least doc_id) and the roots of the linked ones."""
     known = each.join(roots.withColumnRenamed("node", "fp"), "fp", "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
     # Nulls last: a row without an id names a class only if there is no other.
     first = known.groupBy("root").agg(F.min(F.struct(F.col("least").isNull().alias("none"), "least", "fp")).alias("m"))
@@ -207,13 +216,155 @@ def near_duplicates(docs: DataFrame, width: int = 4, radius: int = 4) -> DataFra
     return found.select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
 
 
-def first_of_each(docs: DataFrame, width: int = 5, radius: int = 6, keep: int = 3) -> DataFrame:
+def second(h: np.ndarray) -> np.ndarray:
+    """Another 64 bits of each hash, mixed from the first."""
+    x = (h ^ (h >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+    x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+    return x ^ (x >> np.uint64(31))
+
+
+def apart(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """Differing bits of fingerprints of two words (rows of two columns)."""
+    return np.bitwise_count(x ^ y).sum(-1, dtype=np.int16)
+
+
+def band_keys(prints: np.ndarray, tables: int, bits: int, seed: int = 9) -> np.ndarray:
+    """rows x tables: (table, the fingerprint's bits at places drawn for it) as one number."""
+    rng = np.random.default_rng(seed)
+    unpacked = np.unpackbits(prints.astype("<u8").view(np.uint8).reshape(len(prints), -1), axis=1, bitorder="little")
+    powers = 1 << np.arange(bits, dtype=np.int64)
+    places = [rng.choice(unpacked.shape[1], bits, replace=False) for _ in range(tables)]
+    return np.stack([(t << bits) + unpacked[:, p] @ powers for t, p in enumerate(places)], 1)
+
+
+def near_earlier(prints: np.ndarray, group: np.ndarray, radius: int, most: int, few: int = 256) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(i, j, distance), j < i, of one group: for each row the ``most`` nearest earlier ones within the radius.
+
+    group: numbers of groups, in order. Rows of groups up to ``few`` are compared at each shift at once; larger
+    groups row block by row block.
+    """
+    sizes = np.bincount(group)
+    found = []
+    shallow = sizes[group] <= few
+    for s in range(1, min(few, int(sizes[sizes <= few].max(initial=1)))):
+        i = np.flatnonzero(shallow[s:] & (group[s:] == group[:-s])) + s
+        d = apart(prints[i], prints[i - s])
+        near = d <= radius
+        found.append((i[near], i[near] - s, d[near]))
+    starts = np.searchsorted(group, np.arange(len(sizes)))
+    for g in np.flatnonzero(sizes > few):
+        own = np.arange(starts[g], starts[g] + sizes[g])
+        for lo in range(0, len(own), 256):
+            rows = own[lo : lo + 256]
+            d = apart(prints[rows][:, None], prints[own[: lo + 256]][None])
+            i, j = np.nonzero((d <= radius) & (own[: lo + 256][None] < rows[:, None]))
+            found.append((rows[i], own[j], d[i, j]))
+    i, j, d = (np.concatenate([f[k] for f in found] or [np.zeros(0, np.int64)]) for k in range(3))
+    order = np.lexsort((j, d, i))
+    i, j, d = i[order], j[order], d[order]
+    kept = np.arange(len(i)) - np.searchsorted(i, i) < most
+    return i[kept], j[kept], d[kept]
+
+
+def candidates(prints: DataFrame, radius: int = 32, tables: int = 128, bits: int = 16, part_rows: int = 1024, most: int = 1) -> DataFrame:
+    """(a, b, d): pairs of fingerprints (fp, fp2) within the radius that agree in all bits of some table.
+
+    Within a bucket each gives its ``most`` nearest earlier ones (one for each of many tables), so that a group of copies gives links of its
+    size and not of its square; a link between two of a group is found as a chain of nearer ones. Buckets of many
+    rows, found in a sixteenth of the fingerprints, are cut into parts, and every pair of parts meets.
+    """
+
+    def keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for lo in range(0, batch.num_rows, 2048):
+                b = batch.slice(lo, 2048)
+                x = np.stack([b.column(c).to_numpy() for c in ("fp", "fp2")], 1).view(np.uint64)
+                k = band_keys(x, tables, bits)
+                wide = np.repeat(x, tables, axis=0).view(np.int64)
+                yield pa.RecordBatch.from_arrays([pa.array(k.ravel()), pa.array(wide[:, 0]), pa.array(wide[:, 1])], names=["k", "fp", "fp2"])
+
+    def keyed(df: DataFrame) -> DataFrame:
+        return df.select("fp", "fp2").mapInArrow(keys, "k long, fp long, fp2 long")
+
+    some = keyed(prints.where(F.pmod(F.xxhash64("fp"), F.lit(16)) == 0)).groupBy("k").count()
+    hot = materialise(some.where(F.col("count") > part_rows // 16).select("k", F.ceil(F.col("count") * 16 / part_rows).cast("int").alias("parts")), "hot")
+    rows = keyed(prints).join(broadcast_if_small(hot, 100_000), "k", "left")
+    parts = F.coalesce("parts", F.lit(1))
+    rows = rows.select("fp", "fp2", "k", F.pmod(F.xxhash64("fp", F.lit(1)), parts).alias("own"), F.explode(F.sequence(F.lit(0), parts - 1)).alias("other"))
+    bucket = (F.col("k") * 4096 + F.least("own", "other")) * 4096 + F.greatest("own", "other")
+    dealt = rows.select(bucket.cast("long").alias("k"), "fp", "fp2").repartition("k").sortWithinPartitions("k")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = np.zeros((0, 3), np.int64)
+        for b in itertools.chain(batches, [None]):
+            if b is not None:
+                held = np.concatenate([held, np.stack([b.column(c).to_numpy() for c in ("k", "fp", "fp2")], 1)])
+            if not len(held):
+                continue
+            # The last bucket may go on in the next batch.
+            end = int(np.searchsorted(held[:, 0], held[-1, 0])) if b is not None else len(held)
+            own, held = held[:end], held[end:]
+            group = np.cumsum(np.diff(own[:, 0], prepend=own[:1, 0]) != 0)
+            x = np.ascontiguousarray(own[:, 1:]).view(np.uint64)
+            i, j, d = near_earlier(x, group, radius, most) if len(own) else (np.zeros(0, np.int64),) * 3
+            a, c = own[i, 1], own[j, 1]
+            rows = np.unique(np.stack([np.maximum(a, c), np.minimum(a, c), d.astype(np.int64)], 1)[a != c], axis=0)
+            yield pa.RecordBatch.from_arrays([pa.array(rows[:, 0]), pa.array(rows[:, 1]), pa.array(rows[:, 2].astype(np.int32))], names=["a", "b", "d"])
+
+    return dealt.mapInArrow(run, "a long, b long, d int").groupBy("a", "b").agg(F.min("d").alias("d"))
+
+
+def shingle_sets(docs: DataFrame, width: int) -> DataFrame:
+    """fp, h: the distinct shingles (32 bits of their hashes) of one text of each fingerprint of docs (fp, text)."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch, texts in chunks(batches, "text"):
+            first = {f: t for f, t in zip(batch.column("fp").to_pylist(), texts, strict=True)}
+            sets = [np.unique(shingle_hashes(t, width).astype(np.uint32)).view(np.int32) for t in first.values()]
+            yield pa.RecordBatch.from_arrays([pa.array(list(first), pa.int64()), pa.array(sets, pa.list_(pa.int32()))], names=["fp", "h"])
+
+    return docs.mapInArrow(run, "fp long, h array<int>").dropDuplicates(["fp"])
+
+
+def verified(pairs: DataFrame, sets: DataFrame, least: float) -> DataFrame:
+    """(a, b) of the pairs whose shingle sets have that Jaccard similarity."""
+    rows = pairs.select("a", "b").join(sets.select(F.col("fp").alias("a"), F.col("h").alias("x")), "a")
+    rows = rows.join(sets.select(F.col("fp").alias("b"), F.col("h").alias("y")), "b")
+    common = F.size(F.array_intersect("x", "y"))
+    return rows.where(common / (F.size("x") + F.size("y") - common) >= least).select("a", "b")
+
+
+def similar(full: DataFrame, prints: DataFrame, width: int, least: float, **how) -> DataFrame:
+    """(node, root) of the fingerprints of full (__fp, text) that are linked by that similarity.
+
+    Each fingerprint's nearest candidate is verified first; of the others only those that would
+    join two classes. So a group of copies costs about one verification each.
+    """
+    found = materialise(candidates(prints, **how), "pairs")
+    release(full.sparkSession)
+    wanted = found.select("a").union(found.select("b")).distinct().withColumnRenamed("a", "fp")
+    sets = materialise(shingle_sets(full.select(F.col("__fp").alias("fp"), "text").join(wanted, "fp", "left_semi"), width), "shingles")
+    release(full.sparkSession)
+    nearest = found.groupBy("a").agg(F.min(F.struct("d", "b")).alias("m")).select("a", "m.b")
+    links = materialise(verified(nearest, sets, least), "links")
+    roots = components(links)
+    of = [roots.select(F.col("node").alias(c), F.col("root").alias(f"r{c}")) for c in "ab"]
+    rest = found.join(of[0], "a", "left").join(of[1], "b", "left").where(F.coalesce("ra", "a") != F.coalesce("rb", "b"))
+    more = verified(rest.join(nearest, ["a", "b"], "left_anti"), sets, least)
+    return components(links.union(more))
+
+
+def first_of_each(docs: DataFrame, width: int = 5, least: float = 0.8, **how) -> DataFrame:
     """docs with one row of each class, the one with the smallest doc_id; its columns stay as they are.
 
+    Texts are linked where their sets of width-word shingles have a Jaccard similarity of least or more. At
+    0.8, the 64 bits of half of such pairs differ in nine places or more, too many for whole blocks to
+    agree, so the fingerprint has 128 bits here, and candidates agree in drawn bits, in one table at least of many.
     Repeated rows are one; among rows without a doc_id only copies are.
     """
-    full = materialise(with_fingerprint(docs, width, "__fp"), "documents-fp")
-    found = classes(full.select("doc_id", F.col("__fp").alias("fp")), radius, keep)
+    full = materialise(with_fingerprint(docs, width, "__fp", "__fp2"), "documents-fp")
+    prints = materialise(full.groupBy(F.col("__fp").alias("fp")).agg(F.min("doc_id").alias("least"), F.min("__fp2").alias("fp2")), "prints")
+    found = named(prints.select("fp", "least"), similar(full, prints, width, least, **how))
     first = found.select(F.col("component_id").alias("__id"), F.col("first_fp").alias("__first")).distinct()
     kept = full.join(first, (full["__fp"] == first["__first"]) & full["doc_id"].eqNullSafe(first["__id"]), "left_semi")
     return kept.dropDuplicates(["doc_id", "__fp"]).select(*docs.columns)

@@ -110,3 +110,48 @@ def test_long_chain_is_one_component(spark):
     got = {r["node"]: r["root"] for r in components(links).collect()}
     assert got == {**{i: 0 for i in range(201)}, 500: 500, 501: 500}
     assert components(spark.sql("select 1L a, 1L b")).count() == 0
+
+
+def test_similar_texts_against_all_pairs(docs):
+    """Copies with a few words changed, some above and some below the similarity; the fixed seeds make this one outcome."""
+    rng = np.random.default_rng(6)
+    texts = []
+    for _ in range(40):
+        base = [f"w{v}" for v in rng.integers(0, 5000, rng.integers(40, 400))]
+        for _ in range(6):
+            own = list(base)
+            for at in rng.choice(len(own), rng.integers(0, max(2, len(own) // 40)), replace=False):
+                own[at] = f"x{rng.integers(0, 5000)}"
+            texts.append(" ".join(own))
+    order = rng.permutation(len(texts))
+    texts = [texts[i] for i in order]
+    sets = [set(nd.shingle_hashes(t.encode(), 5).tolist()) for t in texts]
+    own = list(range(len(texts)))
+
+    def root(i):
+        while own[i] != i:
+            i = own[i]
+        return i
+
+    for i in range(len(texts)):
+        for j in range(i):
+            if len(sets[i] & sets[j]) >= 0.8 * len(sets[i] | sets[j]):
+                a, b = sorted((root(i), root(j)))
+                own[b] = a
+    want = {i for i in range(len(texts)) if root(i) == i}
+    got = {r["doc_id"] for r in nd.first_of_each(docs(texts)).collect()}
+    assert len(want) < len(texts)
+    assert want <= got and len(got - want) <= 0.02 * len(texts)
+
+
+def test_near_earlier_against_all_pairs():
+    rng = np.random.default_rng(2)
+    prints = rng.integers(0, 2**63, (400, 2)).astype(np.uint64)
+    prints[200:] = prints[:200] ^ (np.uint64(1) << rng.integers(0, 60, (200, 2)).astype(np.uint64))
+    group = np.sort(rng.integers(0, 4, 400))
+    group[group == 3] = 2
+    for few in (3, 1000):
+        i, j, d = nd.near_earlier(prints, group, 8, 1000, few)
+        brute = {(a, b) for a in range(400) for b in range(a) if group[a] == group[b] and nd.apart(prints[a], prints[b]) <= 8}
+        assert set(zip(i.tolist(), j.tolist(), strict=True)) == brute
+        assert (nd.apart(prints[i], prints[j]) == d).all()
