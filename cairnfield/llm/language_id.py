@@ -157,7 +157,13 @@ def identify(docs: DataFrame, model: Model, carry: tuple[str, ...] = ("doc_id",)
 
 
 def known_language(docs: DataFrame, **options) -> DataFrame:
-    """docs without the rows that have no language (null texts, no letter); its columns stay as they are."""
+    """docs without the rows that have no language (null texts, no letter); its columns stay as they are.
+
+    Where no row has a language to learn from, texts with a letter are kept.
+    """
     names = ("__lang_pred", "__score", "__ambiguous")
-    found = identify(docs, train(docs, F.lit(True), **options), tuple(docs.columns), names)
+    model = train(docs, F.lit(True), **options)
+    if not model.langs:
+        return docs.where(F.col("text").rlike(r"\p{L}"))
+    found = identify(docs, model, tuple(docs.columns), names)
     return found.where(F.col(names[0]) != UNKNOWN).select(*docs.columns)

@@ -153,6 +153,8 @@ def test_language_edges(docs):
     assert {r["lang_pred"] for r in language_id.identify(df, nothing).collect()} == {"und"}
     kept = language_id.known_language(df)
     assert kept.columns == df.columns and sorted(r["doc_id"] for r in kept.collect()) == [3, 4, 5, 6]
+    unlabelled = language_id.known_language(docs(["a", "1 2", None]))
+    assert [r["doc_id"] for r in unlabelled.collect()] == [0]
     assert language_id.identify(docs([]), m).count() == 0
 
 
