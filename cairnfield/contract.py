@@ -460,7 +460,7 @@ def _terrain_cells(spark, sf_dir) -> DataFrame:
 
 
 for _name, _sign, _run in (("normalise_heights", "-", neighbours.normalise_heights), ("denormalise_heights", "+", neighbours.denormalise_heights)):
-    query(f"with {E}, {_TER}, {_BIL} select point_id, round(case when h is not null and not withheld then z {_sign} h else z end, 6) + 0e0 as z from s", _name)(lambda s, d, f=_run: rounded(f(event_points(s, d), _terrain_cells(s, d), TERRAIN).select("point_id", "z")))
+    query(f"with {E}, {_TER}, {_BIL} select point_id, round(case when h is not null and not withheld then z {_sign} h else z end, 4) + 0e0 as z from s", _name)(lambda s, d, f=_run: rounded(f(event_points(s, d), _terrain_cells(s, d), TERRAIN).select("point_id", "z"), 4))
 
 # --- tables --------------------------------------------------------------------------------------
 
