@@ -459,8 +459,9 @@ def _terrain_cells(spark, sf_dir) -> DataFrame:
     return surfaces.dtm(event_points(spark, sf_dir), TERRAIN)
 
 
+# Heights are multiples of 1e-10, so some lie halfway between two rounded values; the shift moves all of them off.
 for _name, _sign, _run in (("normalise_heights", "-", neighbours.normalise_heights), ("denormalise_heights", "+", neighbours.denormalise_heights)):
-    query(f"with {E}, {_TER}, {_BIL} select point_id, round(case when h is not null and not withheld then z {_sign} h else z end, 4) + 0e0 as z from s", _name)(lambda s, d, f=_run: rounded(f(event_points(s, d), _terrain_cells(s, d), TERRAIN).select("point_id", "z"), 4))
+    query(f"with {E}, {_TER}, {_BIL} select point_id, round(case when h is not null and not withheld then z {_sign} h else z end + 3.33e-11, 6) + 0e0 as z from s", _name)(lambda s, d, f=_run: rounded(f(event_points(s, d), _terrain_cells(s, d), TERRAIN).select("point_id", (F.col("z") + F.lit(3.33e-11)).alias("z"))))
 
 # --- tables --------------------------------------------------------------------------------------
 
