@@ -146,7 +146,7 @@ def identify(docs: DataFrame, model: Model, carry: tuple[str, ...] = ("doc_id",)
             langs, scores, doubt = [], [], []
             for lo in range(0, len(texts), ROWS):
                 part = texts[lo : lo + ROWS]
-                letters = [bool(t) and bool(m.langs) and _LETTER.search(t.decode()) is not None for t in part]
+                letters = [bool(t) and bool(m.langs) and _LETTER.search(t.decode("utf-8", "replace")) is not None for t in part]
                 best, share, lead = decode(m, grams(part)) if m.langs else (np.zeros(len(part), int), np.zeros(len(part)), np.zeros(len(part)))
                 langs += [m.langs[i] if ok else UNKNOWN for i, ok in zip(best, letters, strict=True)]
                 scores += [float(s) if ok else 0.0 for s, ok in zip(share, letters, strict=True)]

@@ -58,7 +58,7 @@ def tokenise(docs: DataFrame, ranks_file: str | None = None, end_id: int = 0) ->
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encode, part, at = encoder(ranks_file).encode_ordinary, TaskContext.get().partitionId(), 0
         for batch, texts in chunks(batches, "text"):
-            ids = [np.array([*(encode(t.decode()) if t else ()), end_id], "<u2") for t in texts]
+            ids = [np.array([*(encode(t.decode("utf-8", "replace")) if t else ()), end_id], "<u2") for t in texts]
             n = np.fromiter(map(len, ids), np.int64, len(ids))
             starts = at + np.cumsum(n) - n
             at += int(n.sum())

@@ -45,7 +45,7 @@ class Model:
 def _hash(word: bytes) -> tuple[int, int]:
     import xxhash
 
-    word = word.strip(EDGES).decode().lower()
+    word = word.strip(EDGES).decode("utf-8", "replace").lower()
     return xxhash.xxh3_64_intdigest(word), xxhash.xxh3_64_intdigest(f"^{word[:STEM]}")
 
 

@@ -65,3 +65,17 @@ def test_pack_round_trip(docs):
         check_packed(rows, want, 64)
     assert packing.pack(docs([])).count() == 0
     assert packing.pack(docs(["a", "a"], [None, None])).count() == 2
+
+
+def test_texts_that_are_not_utf8(spark):
+    """Broken bytes count as replacement characters; nothing fails."""
+    from pyspark.sql import functions as F
+
+    from cairnfield.llm import language_id, near_dedup, substring_dedup, toxicity
+
+    df = spark.range(3).select(F.col("id").alias("doc_id"), F.expr("cast(unhex('61FF6220C3') as string)").alias("text"), F.lit("en").alias("lang"))
+    assert packing.pack(df).count() == 3
+    assert near_dedup.near_duplicates(df).select("component_id").distinct().count() == 1
+    assert substring_dedup.dedup(df).count() == 3
+    assert language_id.identify(df, language_id.train(df, F.lit(True))).first()["lang_pred"] == "en"
+    assert toxicity.score(df, toxicity.Model()).count() == 3
