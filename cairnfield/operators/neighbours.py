@@ -56,15 +56,12 @@ def nearest_distances(xyz: np.ndarray, k: int) -> np.ndarray:
 
 def _tagged(points: DataFrame, tile: tuple[str, ...], keep: Callable[[np.ndarray], np.ndarray], **how) -> DataFrame:
     """Groups are tiles, whose size is bounded by subdivision; keep sees one tile's coordinates."""
-    columns = points.columns
-    extra = [c for c in ("__keep",) if c not in columns]
-
     def run(tile_points: pd.DataFrame) -> pd.DataFrame:
         return tile_points.assign(__keep=keep(tile_points[["x", "y", "z"]].to_numpy(np.float64)))
 
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in points.schema) + ", `__keep` boolean"
     rows = points.groupBy(*(tile or [F.lit(0).alias("__all")])).applyInPandas(run, schema)
-    return clean(rows, F.col("__keep"), **how).drop(*extra)
+    return clean(rows, F.col("__keep"), **how).drop("__keep")
 
 
 def statistical_outliers(points: DataFrame, k: int = 6, multiplier: float = 3.0, tile: tuple[str, ...] = ("tile_col", "tile_row"), **how) -> DataFrame:

@@ -98,7 +98,7 @@ def test_sinks(spark, cloud, tmp_path):
 
 def test_strips(spark):
     rows = [(x, y, 10.0 + line * 0.05, line) for line in (0, 1) for x in (1, 6, 11) for y in (1, 6, 11) for _ in range(6)]
-    df = spark.createDataFrame(rows, "x double, y double, z double, point_source_id int") if False else spark.createDataFrame(pd.DataFrame(rows, columns=["x", "y", "z", "point_source_id"]))
+    df = spark.createDataFrame(pd.DataFrame(rows, columns=["x", "y", "z", "point_source_id"]))
     r = report.strip_agreement(df).first()
     assert (r["pairs"], r["rmsdz"], r["ok"]) == (9, 0.05, True)
     assert report.quality(failed_tasks=1)[0] == "FAIL" and report.quality()[0] == "PASS"
