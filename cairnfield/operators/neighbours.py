@@ -55,7 +55,11 @@ def nearest_distances(xyz: np.ndarray, k: int) -> np.ndarray:
 
 
 def _tagged(points: DataFrame, tile: tuple[str, ...], keep: Callable[[np.ndarray], np.ndarray], **how) -> DataFrame:
-    """Groups are tiles, whose size is bounded by subdivision; keep sees one tile's coordinates."""
+    """Groups are tiles, whose size is bounded by subdivision; keep sees one tile's coordinates.
+
+    Without tile columns all points are one tile: for clouds that fit one task.
+    """
+
     def run(tile_points: pd.DataFrame) -> pd.DataFrame:
         return tile_points.assign(__keep=keep(tile_points[["x", "y", "z"]].to_numpy(np.float64)))
 
