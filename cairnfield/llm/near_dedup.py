@@ -266,11 +266,44 @@ def near_earlier(prints: np.ndarray, group: np.ndarray, radius: int, most: int,
     return i[kept], j[kept], d[kept]
 
 
-def candidates(prints: DataFrame, radius: int = 32, tables: int = 128, bits: int = 16, part_rows: int = 1024, most: int = 1) -> DataFrame:
-    """(a, b, d): pairs of fingerprints (fp, fp2) within the radius that agree in all bits of some table.
+def joined(n: int, i: np.ndarray, j: np.ndarray, d: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Of links (i, j, d), j < i < n, in order of i and d: each row's first, and links that join the trees of these which other links join."""
+    one = np.flatnonzero(np.diff(i, prepend=-1))
+    top = np.arange(n)
+    top[i[one]] = j[one]
+    while (top[top] != top).any():
+        top = top[top]
+    x, y = np.maximum(top[i], top[j]), np.minimum(top[i], top[j])
+    more = []
+    for p, q in np.unique(np.stack([x, y], 1)[x != y], axis=0).tolist():
+        if top[p] != top[q]:
+            more.append((p, q))
+            top[top == top[p]] = top[q]
+    far = np.array(more, np.int64).reshape(-1, 2)
+    return np.concatenate([i[one], far[:, 0]]), np.concatenate([j[one], far[:, 1]]), np.concatenate([d[one], np.full(len(far), 2 * BITS + 1)])
+
+
+def reach(prints: np.ndarray, group: np.ndarray, radius: int, few: int = 256) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(i, j, distance), j < i, of one group: links that connect whatever all pairs within the radius connect.
+
+    Those are each row's nearest earlier one, and between the trees of these links at distance 2 * BITS + 1,
+    which say no more than that both are connected.
+    """
+    sizes = np.bincount(group)
+    deep = [np.arange(lo, lo + sizes[group[lo]]) for lo in np.searchsorted(group, np.flatnonzero(sizes > few))]
+    found = []
+    for own in [np.flatnonzero(sizes[group] <= few), *deep]:
+        if len(own):
+            i, j, d = joined(len(own), *near_earlier(prints[own], group[own] - group[own[0]], radius, len(own), few))
+            found.append((own[i], own[j], d))
+    return tuple(np.concatenate([f[k] for f in found] or [np.zeros(0, np.int64)]) for k in range(3))
+
+
+def candidates(prints: DataFrame, radius: int = 32, tables: int = 128, bits: int = 16, part_rows: int = 1024) -> DataFrame:
+    """(a, b, d): links that connect all pairs of fingerprints (fp, fp2) within the radius that agree in all bits of some table.
 
-    Within a bucket each gives its ``most`` nearest earlier ones (one for each of many tables), so that a group of copies gives links of its
-    size and not of its square; a link between two of a group is found as a chain of nearer ones. Buckets of many
+    A bucket gives a spanning forest of its pairs (``reach``), so that a group of copies gives links of its
+    size and not of its square, and no pair within the radius is left unconnected. Buckets of many
     rows, found in a sixteenth of the fingerprints, are cut into parts, and every pair of parts meets.
     """
 
@@ -306,7 +339,7 @@ def candidates(prints: DataFrame, radius: int = 32, tables: int = 128, bits: int
             own, held = held[:end], held[end:]
             group = np.cumsum(np.diff(own[:, 0], prepend=own[:1, 0]) != 0)
             x = np.ascontiguousarray(own[:, 1:]).view(np.uint64)
-            i, j, d = near_earlier(x, group, radius, most) if len(own) else (np.zeros(0, np.int64),) * 3
+            i, j, d = reach(x, group, radius) if len(own) else (np.zeros(0, np.int64),) * 3
             a, c = own[i, 1], own[j, 1]
             rows = np.unique(np.stack([np.maximum(a, c), np.minimum(a, c), d.astype(np.int64)], 1)[a != c], axis=0)
             yield pa.RecordBatch.from_arrays([pa.array(rows[:, 0]), pa.array(rows[:, 1]), pa.array(rows[:, 2].astype(np.int32))], names=["a", "b", "d"])
@@ -334,11 +367,87 @@ def verified(pairs: DataFrame, sets: DataFrame, least: float) -> DataFrame:
     return rows.where(common / (F.size("x") + F.size("y") - common) >= least).select("a", "b")
 
 
+def alike(sides: np.ndarray, owners: np.ndarray, sets: list[np.ndarray], least: float) -> list[tuple[int, int]]:
+    """Links between owners that have sets of that Jaccard similarity, on sides 0 and 1; sets of one side only meet each other.
+
+    All pairs but those of owners that are linked already, and of sizes too unequal, are compared.
+    """
+    sizes = np.array([len(s) for s in sets])
+    ends = np.cumsum(sizes)
+    starts = ends - sizes
+    codes = np.unique(np.concatenate(sets), return_inverse=True)[1]
+    mark = np.zeros(codes.max(initial=0) + 1, np.uint8)
+    top = np.unique(owners, return_inverse=True)[1]
+    two = sides.any()
+    found = []
+    for i in np.flatnonzero(sides == 0):
+        fits = (top != top[i]) & (np.minimum(sizes, sizes[i]) >= least * np.maximum(sizes, sizes[i])) & (sizes > 0)
+        other = np.flatnonzero(fits & (sides == 1)) if two else i + np.flatnonzero(fits[i:])
+        if not len(other):
+            continue
+        mark[codes[starts[i] : ends[i]]] = 1
+        n = sizes[other]
+        first = np.cumsum(n) - n
+        common = np.add.reduceat(mark[codes[np.arange(n.sum()) + np.repeat(starts[other] - first, n)]], first, dtype=np.int64)
+        mark[codes[starts[i] : ends[i]]] = 0
+        for j in other[common / (sizes[i] + n - common) >= least]:
+            if top[j] != top[i]:
+                found.append((int(owners[i]), int(owners[j])))
+                top[top == top[j]] = top[i]
+    return found
+
+
+def compared(rows: DataFrame, least: float, cell: int = 1 << 18) -> DataFrame:
+    """(a, b): links between classes c of a group g that hold sets h of that similarity; rows are (id, c, g, h).
+
+    Each pair of sets of one group and two classes is compared. A group's sets are dealt to cells of about
+    ``cell`` shingles: a large class has cells of its own, the others share some. Every pair of cells meets
+    in one task but those of one class, so the work on a large class grows with the sets beside it.
+    """
+    weight = F.sum(F.size("h") + 256).alias("w")
+    classes = materialise(rows.groupBy("g", "c").agg(weight), "classes")
+    large = F.col("w") > cell // 2
+    own = classes.where(large).select("g", "c", F.ceil(F.col("w") / cell).cast("int").alias("n"))
+    rest = classes.where(~large).groupBy("g").agg(F.ceil(F.sum("w") / cell).cast("int").alias("m"))
+    parts = [own.select("g", F.lit(True).alias("whole"), F.col("c").alias("o"), "n"), rest.select("g", F.lit(False).alias("whole"), F.col("g").alias("o"), F.col("m").alias("n"))]
+    cells = parts[0].union(parts[1]).select("g", "whole", "o", F.explode(F.sequence(F.lit(0), F.col("n") - 1)).alias("p")).select("g", F.struct("whole", "o", "p").alias("x"))
+    pairs = cells.join(cells.withColumnRenamed("x", "y"), "g").where((F.col("x") <= F.col("y")) & ~(F.col("x.whole") & F.col("y.whole") & (F.col("x.o") == F.col("y.o"))))
+    pairs = materialise(pairs.select("g", "x", "y", F.monotonically_increasing_id().alias("pair")), "cells")
+    sides = pairs.select("pair", "g", F.lit(0).alias("side"), "x").union(pairs.where(F.col("x") != F.col("y")).select("pair", "g", F.lit(1), "y"))
+    sides = sides.select("pair", "side", "g", "x.whole", "x.o", "x.p")
+    whole = F.col("n").isNotNull()
+    placed = rows.join(own, ["g", "c"], "left").join(rest, "g", "left")
+    placed = placed.select("g", whole.alias("whole"), F.when(whole, F.col("c")).otherwise(F.col("g")).alias("o"), F.when(whole, F.pmod(F.xxhash64("id"), "n")).otherwise(F.pmod(F.xxhash64("c"), "m")).cast("int").alias("p"), "c", "h")
+    dealt = placed.join(sides, ["g", "whole", "o", "p"]).select("pair", "side", "c", "h").repartition("pair").sortWithinPartitions("pair")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[tuple] = []
+        now = None
+        for b in itertools.chain(batches, [None]):
+            found = []
+            new = [(None,) * 4]
+            if b is not None:
+                h = b.column("h")
+                sets = np.split(h.flatten().to_numpy(), np.cumsum(h.value_lengths().to_numpy())[:-1])
+                new = zip(b.column("pair").to_pylist(), b.column("side").to_pylist(), b.column("c").to_pylist(), sets, strict=True)
+            for pair, *row in new:
+                if pair != now:
+                    # The last pair of cells may go on in the next batch.
+                    if held:
+                        found += alike(np.array([r[0] for r in held]), np.array([r[1] for r in held]), [r[2] for r in held], least)
+                    held, now = [], pair
+                held.append(row)
+            yield pa.RecordBatch.from_arrays([pa.array([f[k] for f in found], pa.int64()) for k in (0, 1)], names=["a", "b"])
+
+    return dealt.mapInArrow(run, "a long, b long")
+
+
 def similar(full: DataFrame, prints: DataFrame, width: int, least: float, **how) -> DataFrame:
     """(node, root) of the fingerprints of full (__fp, text) that are linked by that similarity.
 
-    Each fingerprint's nearest candidate is verified first; of the others only those that would
-    join two classes. So a group of copies costs about one verification each.
+    Each fingerprint's nearest candidate is verified first, which makes classes. Classes that candidates
+    connect are a group, and all its pairs of sets of two classes are compared. So a group of
+    copies costs about one verification each, and no pair goes untried for its nearer neighbours.
     """
     found = materialise(candidates(prints, **how), "pairs")
     release(full.sparkSession)
@@ -346,12 +455,15 @@ def similar(full: DataFrame, prints: DataFrame, width: int, least: float, **how)
     sets = materialise(shingle_sets(full.select(F.col("__fp").alias("fp"), "text").join(wanted, "fp", "left_semi"), width), "shingles")
     release(full.sparkSession)
     nearest = found.groupBy("a").agg(F.min(F.struct("d", "b")).alias("m")).select("a", "m.b")
-    links = materialise(verified(nearest, sets, least), "links")
-    roots = components(links)
+    roots = components(verified(nearest, sets, least))
     of = [roots.select(F.col("node").alias(c), F.col("root").alias(f"r{c}")) for c in "ab"]
-    rest = found.join(of[0], "a", "left").join(of[1], "b", "left").where(F.coalesce("ra", "a") != F.coalesce("rb", "b"))
-    more = verified(rest.join(nearest, ["a", "b"], "left_anti"), sets, least)
-    return components(links.union(more))
+    rest = found.join(of[0], "a", "left").join(of[1], "b", "left").select(F.coalesce("ra", "a").alias("a"), F.coalesce("rb", "b").alias("b"))
+    groups = components(rest)
+    rows = sets.withColumnRenamed("fp", "id").join(roots.withColumnRenamed("node", "id"), "id", "left").select("id", F.coalesce("root", "id").alias("c"), "h")
+    rows = rows.join(groups.select(F.col("node").alias("c"), F.col("root").alias("g")), "c")
+    more = components(compared(rows, least))
+    known = roots.join(more.select(F.col("node").alias("root"), F.col("root").alias("top")), "root", "left").select("node", F.coalesce("top", "root").alias("root"))
+    return known.union(more.join(roots, "node", "left_anti"))
 
 
 def first_of_each(docs: DataFrame, width: int = 5, least: float = 0.8, **how) -> DataFrame:

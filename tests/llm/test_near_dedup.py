@@ -155,3 +155,80 @@ def test_near_earlier_against_all_pairs():
         brute = {(a, b) for a in range(400) for b in range(a) if group[a] == group[b] and nd.apart(prints[a], prints[b]) <= 8}
         assert set(zip(i.tolist(), j.tolist(), strict=True)) == brute
         assert (nd.apart(prints[i], prints[j]) == d).all()
+
+
+def same_classes(texts, least=0.8):
+    """Position of the first text of each text's class, by all pairs."""
+    sets = [set(nd.shingle_hashes(t.encode(), 5).tolist()) for t in texts]
+    own = list(range(len(texts)))
+
+    def root(i):
+        while own[i] != i:
+            i = own[i]
+        return i
+
+    for i in range(len(texts)):
+        for j in range(i):
+            common = len(sets[i] & sets[j])
+            if common >= least * (len(sets[i]) + len(sets[j]) - common):
+                a, b = sorted((root(i), root(j)))
+                own[b] = a
+    return [root(i) for i in range(len(texts))]
+
+
+def changed(rng, words, n, name):
+    own = list(words)
+    for at in rng.choice(len(own), n, replace=False):
+        own[at] = f"{name}{at}"
+    return own
+
+
+def test_pairs_in_a_crowd_are_all_found(docs):
+    """Texts of one template below the similarity, and some whose partner is only one of many near fingerprints."""
+    rng = np.random.default_rng(4)
+    base = [f"w{v}" for v in range(204)]
+    crowd = [changed(rng, base, 5, f"a{k}x") for k in range(300)]
+    crowd += [changed(rng, crowd[k], 3, f"b{k}x") for k in range(100)]
+    texts = [" ".join(crowd[i]) for i in rng.permutation(len(crowd))]
+    want = {i for i, r in enumerate(same_classes(texts)) if i == r}
+    assert 200 < len(want) < 350
+    assert {r["doc_id"] for r in nd.first_of_each(docs(texts)).collect()} == want
+
+
+def test_reach_connects_all_pairs():
+    rng = np.random.default_rng(3)
+    prints = rng.integers(0, 2**63, (500, 2)).astype(np.uint64)
+    prints[100:] = prints[rng.integers(0, 100, 400)] ^ (np.uint64(1) << rng.integers(0, 60, (400, 2)).astype(np.uint64))
+    group = np.sort(rng.integers(0, 3, 500))
+
+    def parts(links):
+        top = list(range(500))
+        for a, b in links:
+            top = [top[b] if t == top[a] else t for t in top]
+        return {frozenset(i for i in range(500) if top[i] == t) for t in top}
+
+    brute = [(a, b) for a in range(500) for b in range(a) if group[a] == group[b] and nd.apart(prints[a], prints[b]) <= 3]
+    for few in (3, 1000):
+        i, j, d = nd.reach(prints, group, 3, few)
+        assert len(i) < 500 and (j < i).all() and parts(zip(i.tolist(), j.tolist(), strict=True)) == parts(brute)
+        near = d <= 3
+        assert (nd.apart(prints[i[near]], prints[j[near]]) == d[near]).all()
+
+
+@pytest.mark.parametrize("cell", [700, 1 << 18])
+def test_compared_against_all_pairs(spark, cell):
+    rng = np.random.default_rng(8)
+    base = rng.integers(0, 2**31, (4, 60))
+    sets = [np.unique(np.where(rng.random(60) < rng.choice([0.02, 0.08]), rng.integers(0, 2**31, 60), base[k % 4])).tolist() for k in range(120)]
+    rows = [(k, 1000 + (0 if k % 3 else k), k % 2, sets[k]) for k in range(120)]
+    got = {tuple(sorted((r["a"], r["b"]))) for r in nd.compared(spark.createDataFrame(rows, "id long, c long, g long, h array<int>"), 0.8, cell).collect()}
+    brute = {tuple(sorted((x[1], y[1]))) for x in rows for y in rows if x[1] != y[1] and x[2] == y[2] and len({*x[3]} & {*y[3]}) >= 0.8 * len({*x[3]} | {*y[3]})}
+    assert brute and got <= brute
+
+    def parts(links):
+        top = {c: c for _, c, _, _ in rows}
+        for a, b in links:
+            top = {c: top[b] if t == top[a] else t for c, t in top.items()}
+        return {frozenset(c for c in top if top[c] == t) for t in top.values()}
+
+    assert parts(got) == parts(brute)
