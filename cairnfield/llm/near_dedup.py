@@ -64,21 +64,34 @@ def majority(h: np.ndarray) -> int:
     return int(np.packbits(votes * 2 > len(h), bitorder="little").view("<i8")[0])
 
 
-def with_fingerprint(docs: DataFrame, width: int, name: str = "fp", name2: str | None = None) -> DataFrame:
-    """docs with one more column, the fingerprint of its column text; with name2 another 64 bits of it."""
+def with_fingerprint(docs: DataFrame, width: int, name: str = "fp") -> DataFrame:
+    """docs with one more column, the fingerprint of its column text."""
     columns = docs.columns
-    names = [name, *([name2] if name2 else [])]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch, texts in chunks(batches, "text"):
-            prints = []
+            prints = pa.array([majority(shingle_hashes(t, width)) for t in texts], pa.int64())
+            yield pa.RecordBatch.from_arrays([*batch.columns, prints], names=[*columns, name])
+
+    return docs.mapInArrow(run, grown(docs.schema, f"{name} long"))
+
+
+def with_set(docs: DataFrame, width: int) -> DataFrame:
+    """docs with __set, a hash of the text's set of shingles, and __fp and __fp2, its fingerprint."""
+    columns = docs.columns
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        import xxhash
+
+        for batch, texts in chunks(batches, "text"):
+            rows = []
             for t in texts:
                 h = shingle_hashes(t, width)
-                prints.append((majority(h), majority(second(h)) if name2 else 0))
-            cols = [pa.array([p[k] for p in prints], pa.int64()) for k in range(len(names))]
-            yield pa.RecordBatch.from_arrays([*batch.columns, *cols], names=[*columns, *names])
+                rows.append((xxhash.xxh3_64_intdigest(np.unique(h).tobytes()), majority(h), majority(second(h))))
+            cols = [pa.array(np.array([r[0] for r in rows], np.uint64).view(np.int64)), *(pa.array([r[k] for r in rows], pa.int64()) for k in (1, 2))]
+            yield pa.RecordBatch.from_arrays([*batch.columns, *cols], names=[*columns, "__set", "__fp", "__fp2"])
 
-    return docs.mapInArrow(run, grown(docs.schema, ", ".join(f"{n} long" for n in names)))
+    return docs.mapInArrow(run, grown(docs.schema, "__set long, __fp long, __fp2 long"))
 
 
 def distances(x: np.ndarray, y) -> np.ndarray:
@@ -319,11 +332,11 @@ def candidates(prints: DataFrame, radius: int = 32, tables: int = 128, bits: int
     def keyed(df: DataFrame) -> DataFrame:
         return df.select("fp", "fp2").mapInArrow(keys, "k long, fp long, fp2 long")
 
-    some = keyed(prints.where(F.pmod(F.xxhash64("fp"), F.lit(16)) == 0)).groupBy("k").count()
+    some = keyed(prints.where(F.pmod(F.xxhash64("fp", "fp2"), F.lit(16)) == 0)).groupBy("k").count()
     hot = materialise(some.where(F.col("count") > part_rows // 16).select("k", F.ceil(F.col("count") * 16 / part_rows).cast("int").alias("parts")), "hot")
     rows = keyed(prints).join(broadcast_if_small(hot, 100_000), "k", "left")
     parts = F.coalesce("parts", F.lit(1))
-    rows = rows.select("fp", "fp2", "k", F.pmod(F.xxhash64("fp", F.lit(1)), parts).alias("own"), F.explode(F.sequence(F.lit(0), parts - 1)).alias("other"))
+    rows = rows.select("fp", "fp2", "k", F.pmod(F.xxhash64("fp", "fp2", F.lit(1)), parts).alias("own"), F.explode(F.sequence(F.lit(0), parts - 1)).alias("other"))
     bucket = (F.col("k") * 4096 + F.least("own", "other")) * 4096 + F.greatest("own", "other")
     dealt = rows.select(bucket.cast("long").alias("k"), "fp", "fp2").repartition("k").sortWithinPartitions("k")
 
@@ -348,21 +361,21 @@ def candidates(prints: DataFrame, radius: int = 32, tables: int = 128, bits: int
 
 
 def shingle_sets(docs: DataFrame, width: int) -> DataFrame:
-    """fp, h: the distinct shingles (32 bits of their hashes) of one text of each fingerprint of docs (fp, text)."""
+    """id, h: the distinct shingles (32 bits of their hashes) of each set of docs (id, text)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch, texts in chunks(batches, "text"):
-            first = {f: t for f, t in zip(batch.column("fp").to_pylist(), texts, strict=True)}
+            first = {f: t for f, t in zip(batch.column("id").to_pylist(), texts, strict=True)}
             sets = [np.unique(shingle_hashes(t, width).astype(np.uint32)).view(np.int32) for t in first.values()]
-            yield pa.RecordBatch.from_arrays([pa.array(list(first), pa.int64()), pa.array(sets, pa.list_(pa.int32()))], names=["fp", "h"])
+            yield pa.RecordBatch.from_arrays([pa.array(list(first), pa.int64()), pa.array(sets, pa.list_(pa.int32()))], names=["id", "h"])
 
-    return docs.mapInArrow(run, "fp long, h array<int>").dropDuplicates(["fp"])
+    return docs.mapInArrow(run, "id long, h array<int>").dropDuplicates(["id"])
 
 
 def verified(pairs: DataFrame, sets: DataFrame, least: float) -> DataFrame:
     """(a, b) of the pairs whose shingle sets have that Jaccard similarity."""
-    rows = pairs.select("a", "b").join(sets.select(F.col("fp").alias("a"), F.col("h").alias("x")), "a")
-    rows = rows.join(sets.select(F.col("fp").alias("b"), F.col("h").alias("y")), "b")
+    rows = pairs.select("a", "b").join(sets.select(F.col("id").alias("a"), F.col("h").alias("x")), "a")
+    rows = rows.join(sets.select(F.col("id").alias("b"), F.col("h").alias("y")), "b")
     common = F.size(F.array_intersect("x", "y"))
     return rows.where(common / (F.size("x") + F.size("y") - common) >= least).select("a", "b")
 
@@ -443,23 +456,30 @@ def compared(rows: DataFrame, least: float, cell: int = 1 << 18) -> DataFrame:
 
 
 def similar(full: DataFrame, prints: DataFrame, width: int, least: float, **how) -> DataFrame:
-    """(node, root) of the fingerprints of full (__fp, text) that are linked by that similarity.
+    """(node, root) of the sets of full (__set, text) that are linked by that similarity; prints has their id, fp, fp2.
 
-    Each fingerprint's nearest candidate is verified first, which makes classes. Classes that candidates
-    connect are a group, and all its pairs of sets of two classes are compared. So a group of
+    Sets of one fingerprint are candidates: each is linked to the smallest of them, which stands for all in
+    links between fingerprints. Each set's nearest candidate is verified first, which makes classes. Classes
+    that candidates connect are a group, and all its pairs of sets of two classes are compared. So a group of
     copies costs about one verification each, and no pair goes untried for its nearer neighbours.
     """
-    found = materialise(candidates(prints, **how), "pairs")
+    found = candidates(prints.select("fp", "fp2").distinct(), **how)
+    first = prints.groupBy("fp").agg(F.min("id").alias("id"))
+    for c in "ab":
+        found = found.join(first.select(F.col("fp").alias(c), F.col("id").alias(f"s{c}")), c)
+    same = prints.join(first.withColumnRenamed("id", "first"), "fp").where(F.col("id") != F.col("first"))
+    found = found.select(F.col("sa").alias("a"), F.col("sb").alias("b"), "d").union(same.select("id", "first", F.lit(0)))
+    found = materialise(found, "pairs")
     release(full.sparkSession)
-    wanted = found.select("a").union(found.select("b")).distinct().withColumnRenamed("a", "fp")
-    sets = materialise(shingle_sets(full.select(F.col("__fp").alias("fp"), "text").join(wanted, "fp", "left_semi"), width), "shingles")
+    wanted = found.select("a").union(found.select("b")).distinct().withColumnRenamed("a", "id")
+    sets = materialise(shingle_sets(full.select(F.col("__set").alias("id"), "text").join(wanted, "id", "left_semi"), width), "shingles")
     release(full.sparkSession)
     nearest = found.groupBy("a").agg(F.min(F.struct("d", "b")).alias("m")).select("a", "m.b")
     roots = components(verified(nearest, sets, least))
     of = [roots.select(F.col("node").alias(c), F.col("root").alias(f"r{c}")) for c in "ab"]
     rest = found.join(of[0], "a", "left").join(of[1], "b", "left").select(F.coalesce("ra", "a").alias("a"), F.coalesce("rb", "b").alias("b"))
     groups = components(rest)
-    rows = sets.withColumnRenamed("fp", "id").join(roots.withColumnRenamed("node", "id"), "id", "left").select("id", F.coalesce("root", "id").alias("c"), "h")
+    rows = sets.join(roots.withColumnRenamed("node", "id"), "id", "left").select("id", F.coalesce("root", "id").alias("c"), "h")
     rows = rows.join(groups.select(F.col("node").alias("c"), F.col("root").alias("g")), "c")
     more = components(compared(rows, least))
     known = roots.join(more.select(F.col("node").alias("root"), F.col("root").alias("top")), "root", "left").select("node", F.coalesce("top", "root").alias("root"))
@@ -469,14 +489,15 @@ def similar(full: DataFrame, prints: DataFrame, width: int, least: float, **how)
 def first_of_each(docs: DataFrame, width: int = 5, least: float = 0.8, **how) -> DataFrame:
     """docs with one row of each class, the one with the smallest doc_id; its columns stay as they are.
 
-    Texts are linked where their sets of width-word shingles have a Jaccard similarity of least or more. At
+    Texts are linked where their sets of width-word shingles have a Jaccard similarity of least or more; equal
+    sets, known by a hash, are made one first. At
     0.8, the 64 bits of half of such pairs differ in nine places or more, too many for whole blocks to
     agree, so the fingerprint has 128 bits here, and candidates agree in drawn bits, in one table at least of many.
     Repeated rows are one; among rows without a doc_id only copies are.
     """
-    full = materialise(with_fingerprint(docs, width, "__fp", "__fp2"), "documents-fp")
-    prints = materialise(full.groupBy(F.col("__fp").alias("fp")).agg(F.min("doc_id").alias("least"), F.min("__fp2").alias("fp2")), "prints")
-    found = named(prints.select("fp", "least"), similar(full, prints, width, least, **how))
+    full = materialise(with_set(docs, width), "documents-fp")
+    prints = materialise(full.groupBy(F.col("__set").alias("id")).agg(F.min("doc_id").alias("least"), F.min("__fp").alias("fp"), F.min("__fp2").alias("fp2")), "prints")
+    found = named(prints.select(F.col("id").alias("fp"), "least"), similar(full, prints, width, least, **how))
     first = found.select(F.col("component_id").alias("__id"), F.col("first_fp").alias("__first")).distinct()
-    kept = full.join(first, (full["__fp"] == first["__first"]) & full["doc_id"].eqNullSafe(first["__id"]), "left_semi")
-    return kept.dropDuplicates(["doc_id", "__fp"]).select(*docs.columns)
+    kept = full.join(first, (full["__set"] == first["__first"]) & full["doc_id"].eqNullSafe(first["__id"]), "left_semi")
+    return kept.dropDuplicates(["doc_id", "__set"]).select(*docs.columns)

@@ -177,8 +177,9 @@ def same_classes(texts, least=0.8):
 
 
 def changed(rng, words, n, name):
+    """words with n of them changed, at least five apart."""
     own = list(words)
-    for at in rng.choice(len(own), n, replace=False):
+    for at in rng.choice(np.arange(4, len(own) - 4, 5), n, replace=False):
         own[at] = f"{name}{at}"
     return own
 
@@ -187,11 +188,11 @@ def test_pairs_in_a_crowd_are_all_found(docs):
     """Texts of one template below the similarity, and some whose partner is only one of many near fingerprints."""
     rng = np.random.default_rng(4)
     base = [f"w{v}" for v in range(204)]
-    crowd = [changed(rng, base, 5, f"a{k}x") for k in range(300)]
-    crowd += [changed(rng, crowd[k], 3, f"b{k}x") for k in range(100)]
+    crowd = [changed(rng, base, 4, f"a{k}x") for k in range(500)]
+    crowd += [changed(rng, crowd[k], 4, f"b{k}x") for k in range(200)]
     texts = [" ".join(crowd[i]) for i in rng.permutation(len(crowd))]
     want = {i for i, r in enumerate(same_classes(texts)) if i == r}
-    assert 200 < len(want) < 350
+    assert 400 < len(want) < 550
     assert {r["doc_id"] for r in nd.first_of_each(docs(texts)).collect()} == want
 
 
@@ -232,3 +233,14 @@ def test_compared_against_all_pairs(spark, cell):
         return {frozenset(c for c in top if top[c] == t) for t in top.values()}
 
     assert parts(got) == parts(brute)
+
+
+def test_equal_fingerprints_are_verified(docs):
+    """A line repeated many times makes the fingerprint, with repeats, of texts that share little else."""
+    rng = np.random.default_rng(5)
+    line = [f"l{v}" for v in range(9)] * 120
+    texts = [" ".join([*line, *(f"own{k}x{v}" for v in range(rng.integers(60, 200)))]) for k in range(12)]
+    texts += [texts[3] + " end", texts[4].upper().replace(" ", "\n"), " ".join(line), " ".join(line[:-1])]
+    want = {i for i, r in enumerate(same_classes([" ".join(t.lower().split()) for t in texts])) if i == r}
+    assert want == {*range(12), 14}
+    assert {r["doc_id"] for r in nd.first_of_each(docs(texts)).collect()} == want
