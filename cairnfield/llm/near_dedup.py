@@ -77,7 +77,7 @@ def with_fingerprint(docs: DataFrame, width: int, name: str = "fp") -> DataFrame
 
 
 def with_set(docs: DataFrame, width: int) -> DataFrame:
-    """docs with __set, a hash of the text's set of shingles, and __fp and __fp2, its fingerprint."""
+    """docs with __set, a hash of the text's set of shingles, and __fp and __fp2, that set's fingerprint."""
     columns = docs.columns
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -86,8 +86,9 @@ def with_set(docs: DataFrame, width: int) -> DataFrame:
         for batch, texts in chunks(batches, "text"):
             rows = []
             for t in texts:
-                h = shingle_hashes(t, width)
-                rows.append((xxhash.xxh3_64_intdigest(np.unique(h).tobytes()), majority(h), majority(second(h))))
+                # Each shingle votes once, as the similarity to be caught is one of sets.
+                h = np.unique(shingle_hashes(t, width))
+                rows.append((xxhash.xxh3_64_intdigest(h.tobytes()), majority(h), majority(second(h))))
             cols = [pa.array(np.array([r[0] for r in rows], np.uint64).view(np.int64)), *(pa.array([r[k] for r in rows], pa.int64()) for k in (1, 2))]
             yield pa.RecordBatch.from_arrays([*batch.columns, *cols], names=[*columns, "__set", "__fp", "__fp2"])
 

@@ -244,3 +244,14 @@ def test_equal_fingerprints_are_verified(docs):
     want = {i for i, r in enumerate(same_classes([" ".join(t.lower().split()) for t in texts])) if i == r}
     assert want == {*range(12), 14}
     assert {r["doc_id"] for r in nd.first_of_each(docs(texts)).collect()} == want
+
+
+@pytest.mark.parametrize("times", [5, 10, 20])
+def test_copies_with_a_repeated_line_are_found(docs, times):
+    rng = np.random.default_rng(times)
+    texts = []
+    for k in range(20):
+        own, line = [f"v{v}" for v in rng.integers(0, 10**6, 250)], [f"l{k}x{v}" for v in range(12)]
+        texts += [" ".join([*own, *line]), " ".join([*own, *line * times])]
+    assert same_classes(texts) == [i - i % 2 for i in range(40)]
+    assert {r["doc_id"] for r in nd.first_of_each(docs(texts)).collect()} == set(range(0, 40, 2))
