@@ -6,6 +6,7 @@ often as it occurs. The fingerprint is cut into radius + 1 blocks; two
 fingerprints within the radius agree in one block at least, so an equi-join on
 (length, block, bits) finds all of them. Candidates are verified by the weighted
 Jaccard similarity of their shingles; a document's best window for an item is reported.
+A document that is shorter than the item is one window as a whole.
 
 A window that shares no shingle with any item has similarity zero, so windows are
 fingerprinted only around shingles that some item has. These are found in a bitmap of
@@ -170,11 +171,13 @@ def _matches(hits: DataFrame, items: DataFrame, least: float, radius: int, max_b
     # A window belongs to the first hit in it, so each is made once.
     before = F.lag("at").over(Window.partitionBy("doc_id", "tid", "length").orderBy("at"))
     lo = F.greatest("first", F.coalesce(before, F.lit(-1)) + 1)
-    hi = F.least(F.col("at"), F.col("first") + F.size("near") - F.col("size"))
-    rows = hits.withColumn("lo", lo).withColumn("hi", hi).where(F.col("hi") >= F.col("lo"))
+    # A document shorter than the item is its own window; with too few shingles it can't reach the similarity.
+    hi = F.least(F.col("at"), F.greatest(F.col("first") + F.size("near") - F.col("size"), F.lit(0)))
+    rows = hits.where(F.size("near") / F.col("size") >= least)
+    rows = rows.withColumn("lo", lo).withColumn("hi", hi).where(F.col("hi") >= F.col("lo"))
     rows = rows.select("doc_id", "first", "near", "length", "size", F.explode(F.sequence("lo", "hi")).alias("start"))
     window = rows.select("doc_id", "length", "start", "size", F.slice("near", F.col("start") - F.col("first") + 1, F.col("size")).alias("hashes"))
-    window = window.withColumn("fp", fingerprint(F.col("hashes"), F.col("size")))
+    window = window.withColumn("fp", fingerprint(F.col("hashes"), F.size("hashes")))
     keys = window.select("doc_id", "start", "length", "fp", "hashes", F.explode(blocks(F.col("fp"), radius)).alias("k")).select("*", "k.block", "k.bits")
     table = items.select("item_id", "length", F.col("fp").alias("item_fp"), F.col("hashes").alias("item_hashes"), F.explode(blocks(F.col("fp"), radius)).alias("k"))
     table = table.select("item_id", "length", "item_fp", "item_hashes", "k.block", "k.bits")

@@ -105,6 +105,24 @@ def test_decontamination_against_all_windows(spark, docs):
     assert decontamination.contaminated(df, none).count() == 0 and decontamination.contaminated(docs([]), bench).count() == 0
 
 
+def test_documents_shorter_than_an_item(spark, docs):
+    item = [f"v{i}" for i in range(50)]
+    texts = [item[:48], item[3:47], item[:41], item[5:46], item[:40], item[:30], [*item[:20], "other", *item[21:48]], item[:4], ["z"] * 30]
+    bench = spark.createDataFrame([(7, " ".join(item)), (8, " ".join(item[:45])), (9, "z " * 33)], "item_id long, text string")
+    got = {(r["doc_id"], r["item_id"]): (r["start"], r["similarity"]) for r in decontamination.contaminated(docs([" ".join(t) for t in texts]), bench).collect()}
+    runs = lambda w: Counter(tuple(w[i : i + 5]) for i in range(len(w) - 4))
+    want = {}
+    for d, t in enumerate(texts):
+        for i, v in ((7, item), (8, item[:45]), (9, ["z"] * 33)):
+            for s in range(max(1, len(t) - len(v) + 1)):
+                a, b = runs(t[s : s + len(v)]), runs(v)
+                j = sum((a & b).values()) / sum((a | b).values())
+                if j >= 0.8 and j > want.get((d, i), (0, 0))[1]:
+                    want[d, i] = (s, j)
+    assert got == want
+    assert {(0, 7), (1, 7), (2, 7), (9 - 1, 9)} <= want.keys() and (5, 7) not in want
+
+
 def test_packed_votes_are_a_simhash(spark):
     """The fingerprint's bits, in its own order, are the majorities of the hashes' bits."""
     rng = np.random.default_rng(0)
