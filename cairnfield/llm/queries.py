@@ -113,7 +113,8 @@ select d.doc_id, cast(len(w) as bigint) as n_words, cast(len(w) - coalesce(n, 0)
 from d left join kept on kept.doc_id = d.doc_id
 """
 
-#: By brute force over all windows that share a shingle with an item; items of five words and more.
+#: By brute force over all windows that share a shingle with an item; items of five words and more. A document
+#: that is shorter than the item is one window.
 _LEAK_SQL = r"""
 with lows as (
   select 'd' as side, doc_id as id, translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') as t from documents
@@ -127,11 +128,11 @@ with lows as (
 ), hit as (
   select distinct d.id as doc_id, item.item_id, d.n as words, item.n, d.i from s d join item on item.k = d.k where d.side = 'd'
 ), win as (
-  select distinct doc_id, item_id, n, unnest(range(greatest(i - n + 5, 0), least(i, words - n) + 1)) as start from hit
+  select distinct doc_id, item_id, n, words, unnest(range(greatest(i - n + 5, 0), greatest(least(i, words - n), 0) + 1)) as start from hit
 ), held as (
-  select win.doc_id, win.item_id, win.n, win.start, s.k, count(*) as c from win join s on s.side = 'd' and s.id = win.doc_id and s.i >= win.start and s.i < win.start + win.n - 4 group by all
+  select win.doc_id, win.item_id, win.n, win.words, win.start, s.k, count(*) as c from win join s on s.side = 'd' and s.id = win.doc_id and s.i >= win.start and s.i < win.start + win.n - 4 group by all
 ), shared as (
-  select h.doc_id, h.item_id, h.start, 2 * (h.n - 4) as total, sum(least(h.c, item.c)) as common from held h join item on item.item_id = h.item_id and item.k = h.k group by all
+  select h.doc_id, h.item_id, h.start, (least(h.words, h.n) - 4) + (h.n - 4) as total, sum(least(h.c, item.c)) as common from held h join item on item.item_id = h.item_id and item.k = h.k group by all
 ), best as (
   select doc_id, item_id, start, cast(common as double) / cast(total - common as double) as similarity, row_number() over (partition by doc_id, item_id order by cast(common as double) / cast(total - common as double) desc, start) as r from shared
 )
