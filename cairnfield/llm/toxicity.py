@@ -3,10 +3,15 @@
 Terms of a text are its distinct words, lower-cased and stripped of punctuation,
 and their leading five characters, hashed to 64 bits; a term's value is 1. The
 score is the logistic of w0 + sum w_i + sum_{i<j} <v_i, v_j>, whose pairwise part
-takes one pass: half of |sum v_i|^2 - sum |v_i|^2. Terms that the sample holds
-in fewer than ``min_docs`` documents, or whose share of positive documents is within
-``min_gap`` deviations of chance, have no weight, so noise of long texts doesn't add up; the
-kept terms are at most ``max_terms``, the broadcast's bound.
+takes one pass: half of |sum v_i|^2 - sum |v_i|^2.
+
+A term has weight and factors if the sample holds it in ``min_docs`` documents or more
+and it tells the classes apart, alone or together with another term; the rest is noise, which
+would add up in long texts. Alone: its share of positive documents is off by ``min_gap``
+deviations. Together: among documents that hold it and one of the ``pair_terms`` commonest terms, the
+share is off by ``pair_gap`` deviations from what both terms' own shares make it when their log
+odds add up. So members of an exclusive or, which tell nothing alone, are kept. The kept terms are
+at most ``max_terms``, the broadcast's bound.
 
 Only the fit sees labels, on a bounded sample of the labelled training rows; the
 scores cover every whole text.
@@ -77,7 +82,39 @@ def sigmoid(z: np.ndarray) -> np.ndarray:
     return 1 / (1 + np.exp(-np.clip(z, -500, 500)))
 
 
-def fit(terms: np.ndarray, offsets: np.ndarray, y: np.ndarray, min_docs: int = 3, min_gap: float = 3.0, max_terms: int = 1 << 17, rank: int = 4, epochs: int = 30, seed: int = 7) -> Model:
+def apart(positive: np.ndarray, docs: np.ndarray, share: np.ndarray | float) -> np.ndarray:
+    """By how many deviations the positive documents of some differ from a share of them."""
+    return np.abs(positive - docs * share) / np.sqrt(docs * share * (1 - share) + 1)
+
+
+def pair_gaps(ids: np.ndarray, row: np.ndarray, y: np.ndarray, m: int) -> np.ndarray:
+    """Of m terms, each with any other: the greatest distance from what both tell when their log odds add up.
+
+    (row, id) says that a document holds a term. Tables of m columns are made for 256 terms at a time.
+    """
+    held = np.zeros((len(y), m), np.float32)
+    held[row, ids] = 1
+
+    def odds(p: np.ndarray, n: np.ndarray) -> np.ndarray:
+        return np.log((p + 0.5) / (n - p + 0.5))
+
+    docs, positive = held.sum(0), y.astype(np.float32) @ held
+    own = odds(positive, docs) - odds(y.sum(), len(y))
+    out = np.zeros(m)
+    for lo in range(0, m, 256):
+        part = held[:, lo : lo + 256]
+        both = part.T @ held
+        hits = (part * y[:, None].astype(np.float32)).T @ held
+        share = sigmoid(odds(y.sum(), len(y)) + own[lo : lo + 256, None] + own[None])
+        gap = apart(hits, both, share)
+        gap[np.arange(len(gap)), lo + np.arange(len(gap))] = 0
+        # Words that go together always, as a word and its stem do, are one term and tell nothing as a pair.
+        gap[both >= 0.9 * np.minimum(docs[lo : lo + 256, None], docs[None])] = 0
+        out[lo : lo + 256] = gap.max(1)
+    return out
+
+
+def fit(terms: np.ndarray, offsets: np.ndarray, y: np.ndarray, min_docs: int = 3, min_gap: float = 3.0, pair_gap: float = 6.0, pair_terms: int = 2048, max_terms: int = 1 << 17, rank: int = 4, epochs: int = 30, seed: int = 7) -> Model:
     """AdaGrad over minibatches of documents; terms are ordered by how well they separate the classes."""
     n = len(y)
     prior = float(np.log((y.sum() + 1) / (n - y.sum() + 1)))
@@ -87,8 +124,15 @@ def fit(terms: np.ndarray, offsets: np.ndarray, y: np.ndarray, min_docs: int = 3
     row = np.repeat(np.arange(n), np.diff(offsets))
     positive = np.bincount(inverse, y[row], len(kinds))
     share = y.mean()
-    gap = np.abs(positive - docs * share) / np.sqrt(docs * share * (1 - share) + 1)
-    keep = np.flatnonzero((docs >= min_docs) & (gap >= min_gap))
+    gap = apart(positive, docs, share)
+    common = np.argsort(-np.where(docs < n, docs, 0), kind="stable")[:pair_terms]
+    place = np.full(len(kinds), -1)
+    place[common] = np.arange(len(common))
+    some = place[inverse] >= 0
+    pairs = np.zeros(len(kinds))
+    pairs[common] = pair_gaps(place[inverse[some]], row[some], y, len(common))
+    keep = np.flatnonzero((docs >= min_docs) & ((gap >= min_gap) | (pairs >= pair_gap)))
+    gap = np.maximum(gap / min_gap, pairs / pair_gap)
     keep = np.sort(keep[np.argsort(-gap[keep], kind="stable")[:max_terms]])
     new = np.full(len(kinds), -1)
     new[keep] = np.arange(len(keep))
@@ -114,7 +158,9 @@ def fit(terms: np.ndarray, offsets: np.ndarray, y: np.ndarray, min_docs: int = 3
             used, slot = np.unique(i, return_inverse=True)
             dw = np.bincount(slot, g[r], len(used)) + 1e-5 * w[used]
             each = g[r][:, None] * (sums[r] - v[i])
-            dv = np.stack([np.bincount(slot, each[:, f], len(used)) for f in range(rank)], 1) + 1e-5 * v[used]
+            dv = 1e-5 * v[used]
+            for f in range(rank):
+                dv[:, f] += np.bincount(slot, each[:, f], len(used))
             gw[used] += dw**2
             gv[used] += dv**2
             gb += g.sum() ** 2
