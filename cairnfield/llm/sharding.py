@@ -7,7 +7,8 @@ parameter, not a function of the data, so broadcasting it is bounded; the rows
 themselves take no shuffle, whatever their keys.
 
 Edge cases: a null key goes where the empty string goes; repeated keys
-share a shard; an empty table gives an empty result.
+share a shard; an empty table gives an empty result; other columns aren't read, whatever
+their names; a key column named slot or shard is returned as ``key``.
 """
 
 from __future__ import annotations
@@ -17,10 +18,6 @@ import hashlib
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-#: At least a hundred slots for each shard keep shares within about one per cent.
-SLOTS_PER_SHARD = 100
-
-
 def _number(text: str) -> int:
     """60 bits of a text's MD5; SQL engines can compute the same."""
     return int(hashlib.md5(text.encode()).hexdigest()[:15], 16)
@@ -56,10 +53,13 @@ def slot_of(key: Column, size: int) -> Column:
 
 
 def place(df: DataFrame, key: str, shards: list[str], size: int) -> DataFrame:
-    """df's key with its slot and shard; the slot table is broadcast."""
+    """df's key with its slot and shard; the slot table is broadcast. At least a hundred
+    slots for each shard keep shares within about one per cent."""
     owner = fill(shards, size)
     names = F.split(F.lit(",".join(map(str, owner))), ",")
     table = df.sparkSession.range(1).select(F.posexplode(names).alias("slot", "owner"))
     by_index = F.split(F.lit("\x00".join(shards)), "\x00")
     table = table.select("slot", F.get(by_index, F.col("owner").cast("int")).alias("shard"))
-    return df.select(F.col(key), slot_of(F.col(key), size).alias("slot")).join(F.broadcast(table), "slot").select(key, "slot", "shard")
+    given = df[f"`{key}`"]
+    rows = df.select(given.alias("key"), slot_of(given, size).alias("slot")).join(F.broadcast(table), "slot")
+    return rows.select(F.col("key").alias(key if key not in ("slot", "shard") else "key"), "slot", "shard")
