@@ -16,7 +16,8 @@ so the others needn't be searched; nothing is lost by that.
 
 Edge cases: vectors that are null, zero, or hold a null or a non-finite component
 take no part, nor do rows without an id or of another length than the
-commonest; repeated rows count once; with fewer than k candidates all are returned.
+commonest; repeated rows count once; with fewer than k candidates all are returned. Of several
+vectors under one id, the smallest, by components in order, asks; all of them are candidates of other ids.
 """
 
 from __future__ import annotations
@@ -30,6 +31,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from .words import grown
+
 WIDTH, CODES = 2, 16
 NEAREST = "query_id long, vec_id long, score double"
 
@@ -130,7 +133,8 @@ def usable(table: DataFrame) -> DataFrame:
     """vec_id and embedding of the rows that take part, each once."""
     x = F.col("embedding")
     fine = F.forall(x, lambda v: v.isNotNull() & ~F.isnan(v) & (F.abs(v) < F.lit(float("inf")))) & F.exists(x, lambda v: v != 0)
-    rows = table.select(F.col("vec_id").cast("long").alias("vec_id"), x.cast("array<float>").alias("embedding")).where(F.col("vec_id").isNotNull() & fine)
+    kind = "array<double>" if table.schema["embedding"].dataType.simpleString() == "array<double>" else "array<float>"
+    rows = table.select(F.col("vec_id").cast("long").alias("vec_id"), x.cast(kind).alias("embedding")).where(F.col("vec_id").isNotNull() & fine)
     top = rows.groupBy(F.size("embedding").alias("n")).count().orderBy(F.desc("count"), "n").limit(1).collect()
     return rows.where(F.size("embedding") == (top[0]["n"] if top else 0))
 
@@ -150,8 +154,9 @@ def nearest(table: DataFrame, every: int = 100, k: int = 10, rerank: int = 64, b
     shared = table.sparkSession.sparkContext.broadcast(book)
     alike = Window.partitionBy("embedding").orderBy("vec_id")
     candidates = rows.dropDuplicates(["vec_id", "embedding"]).withColumn("__at", F.row_number().over(alike)).where(F.col("__at") <= k + 1).drop("__at")
-    queries = rows.where(F.col("vec_id") % every == 0).dropDuplicates(["vec_id"])
-    blocks, query_blocks = max(1, math.ceil(total / block)), max(1, math.ceil(total / every / query_block))
+    asking = F.col("vec_id") % every == 0
+    queries = rows.where(asking).groupBy("vec_id").agg(F.min("embedding").alias("embedding"))
+    blocks, query_blocks = max(1, math.ceil(total / block)), max(1, math.ceil(rows.where(asking).count() / query_block))
 
     def code(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -164,7 +169,7 @@ def nearest(table: DataFrame, every: int = 100, k: int = 10, rerank: int = 64, b
         """One block by hash for a row's own side, all n of the other side."""
         return [F.pmod(F.xxhash64("vec_id", F.lit(own)), F.lit(n)).cast("int").alias(own)]
 
-    coded = candidates.mapInArrow(code, "vec_id long, embedding array<float>, codes binary")
+    coded = candidates.mapInArrow(code, grown(candidates.select("vec_id", "embedding").schema, "codes binary"))
     left = coded.select(*spread(blocks, "b"), F.explode(F.sequence(F.lit(0), F.lit(query_blocks - 1))).alias("q"), "vec_id", "embedding", "codes")
     right = queries.select(F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("b"), *spread(query_blocks, "q"), "vec_id", "embedding", F.lit(None).cast("binary").alias("codes"))
 
