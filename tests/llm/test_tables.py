@@ -79,6 +79,15 @@ def test_placement_edges(spark):
     assert sharding.place(df.limit(0), "doc_id", ["p"], 7).count() == 0
 
 
+@pytest.mark.parametrize("name", ["slot", "shard", "owner", "key", "a.b"])
+def test_keys_of_any_name(spark, name):
+    df = spark.createDataFrame([("x", 1), (None, 2)], f"`{name}` string, other int")
+    got = sharding.place(df, name, ["p", "q"], 211)
+    assert got.columns == [name if name not in ("slot", "shard") else "key", "slot", "shard"]
+    plain = sharding.place(df.toDF("plain", "other"), "plain", ["p", "q"], 211)
+    assert sorted(map(str, map(tuple, got.collect()))) == sorted(map(str, map(tuple, plain.collect())))
+
+
 # --- neighbours ---------------------------------------------------------------------------
 
 
@@ -146,3 +155,28 @@ def test_one_vector_in_a_third_of_the_rows(spark):
         got.setdefault(r["query_id"], []).append(r["vec_id"])
     want = brute(np.arange(600), x, 100, 10)
     assert got == {q: [v for v, _ in rows] for q, rows in want.items()}
+
+
+def test_one_id_with_two_vectors_and_double_precision(spark):
+    """The smallest vector asks; both are candidates of others; distances are those of the doubles."""
+    x = {0: [[1.0, 0.0], [0.5, 9.0]], 1: [[1.0, 1e-12]], 2: [[1.0, 2e-12]], 100: [[5.0, 5.0]]}
+    df = spark.createDataFrame([(i, v) for i, vs in x.items() for v in vs] * 2, "vec_id long, embedding array<double>")
+    got = [tuple(r) for r in ann.nearest(df).orderBy("query_id", "rank").collect()]
+    own = {q: min(x[q]) for q in (0, 100)}
+    want = []
+    for q in (0, 100):
+        near = sorted((math.dist(v, own[q]), i) for i, vs in x.items() if i != q for v in vs)
+        want += [(q, k + 1, i, d) for k, (d, i) in enumerate(near)]
+    assert [g[:3] for g in got] == [w[:3] for w in want]
+    assert all(math.isclose(g[3], w[3], rel_tol=1e-12) for g, w in zip(got, want, strict=True))
+
+
+def test_all_ids_ask(spark):
+    """Query blocks follow the rows that ask, not a share of all rows."""
+    rng = np.random.default_rng(4)
+    x = rng.normal(size=(300, 8)).astype(np.float32)
+    df = spark.createDataFrame([(100 * i, [float(v) for v in r]) for i, r in enumerate(x)], "vec_id long, embedding array<float>")
+    got = {}
+    for r in ann.nearest(df, block=50, query_block=40).orderBy("query_id", "rank").collect():
+        got.setdefault(r["query_id"], []).append(r["vec_id"])
+    assert got == {q: [v for v, _ in rows] for q, rows in brute(np.arange(300) * 100, x, 100, 10).items()}

@@ -75,6 +75,36 @@ def brute_leaks(texts, items, least=0.8):
     return out
 
 
+def test_copies_give_each_place_once(spark, docs):
+    """A hot text gives one row of places, whatever the chunks and partitions, and a hot passage no hot row."""
+    text = " ".join(f"w{i}" for i in range(200))
+    df = docs([text] * 400).repartition(8)
+    few = substring_dedup.repeated_windows(df, spark.createDataFrame([], "tid long")).collect()
+    assert [sorted(r["places"]) for r in few] == [list(range(166))]
+    assert [sorted(r["places"]) for r in substring_dedup.repeated_windows(df).collect()] == [list(range(166))]
+    passage = " ".join(f"p{i}" for i in range(50))
+    mixed = docs([f"a{i} {passage} b{i}" for i in range(300)] + [text] * 40 + ["short copy"] * 40 + [text + " more"]).repartition(5)
+    for heavy in (substring_dedup.HEAVY, 0):
+        rows = substring_dedup.dedup(mixed, heavy=heavy).collect()
+        got = {r["doc_id"]: (r["n_words"], r["n_removed"]) for r in rows}
+        assert got == {**{i: (52, 50) for i in range(300)}, **{i: (200, 200) for i in range(300, 340)}, **{i: (2, 0) for i in range(340, 380)}, 380: (201, 200)}
+
+
+def test_merged_rows_of_a_chunk():
+    """One row a hash asks, the chunk's other places of it are known to be shared."""
+    h = np.array([5, 5, 5, 9, 7], np.uint64)
+    b = substring_dedup._merged(h, np.zeros(5, np.int32), np.array([1, 1, 2, 2, 3]), np.array([0, 8, 3, 4, 1], np.int32), np.array([False, False, False, False, True]))
+    rows = sorted(zip(*(b.column(c).to_pylist() for c in ("g", "tid", "pos", "twice", "h")), strict=True))
+    assert [r[:4] for r in rows] == [(-1, 1, 8, True), (-1, 2, 3, True), (0, 1, 0, True), (0, 2, 4, False), (0, 3, 1, True)]
+    assert {r[4] for r in rows[2:]} == {5, 9, 7} and len({r[4] for r in rows}) == 5
+
+
+def test_substring_columns_of_any_name(spark, docs):
+    df = docs(["x " * 80, "y"]).withColumnsRenamed({"fp": "__tid", "pos": "__places", "source": "__text", "score": "__heavy", "lang": "__0"})
+    got = substring_dedup.dedup(df, out="text")
+    assert got.columns == df.columns and sorted(r["text"] for r in got.collect()) == ["", "y"]
+
+
 def test_decontamination_against_all_windows(spark, docs):
     rng = random.Random(5)
     fresh = lambda n: [f"v{rng.randrange(10**5)}" for _ in range(n)]
@@ -105,6 +135,59 @@ def test_decontamination_against_all_windows(spark, docs):
     assert decontamination.contaminated(df, none).count() == 0 and decontamination.contaminated(docs([]), bench).count() == 0
 
 
+def test_items_of_any_length(spark, docs):
+    """A piece of a long item is not the item; windows of 9,000 words are counted as any others."""
+    rng = random.Random(8)
+    item = [f"v{rng.randrange(10**6)}" for _ in range(9000)]
+    changed = [w if i % 100 else "other" for i, w in enumerate(item)]
+    texts = [item, item[:8000], item[:5000], ["a", "b", *item, "c"], [*item[:8500], *["x"] * 500], item[-1000:], [*changed, "end"], item[-1:]]
+    bench = spark.createDataFrame([(1, " ".join(item))], "item_id long, text string")
+    got = {r["doc_id"]: (r["start"], r["similarity"]) for r in decontamination.contaminated(docs([" ".join(t) for t in texts]), bench).collect()}
+    runs = lambda w: Counter(tuple(w[i : i + 5]) for i in range(len(w) - 4))
+    want = {}
+    for d, t in enumerate(texts):
+        for s in range(max(1, len(t) - len(item) + 1)):
+            a, b = runs(t[s : s + len(item)]), runs(item)
+            j = sum((a & b).values()) / sum((a | b).values())
+            if j >= 0.8 and j > want.get(d, (0, 0))[1]:
+                want[d] = (s, j)
+    assert got == want and {0, 1, 3, 4, 6} == want.keys()
+
+
+def test_blocks_find_all_within_the_radius(spark):
+    """Pairs within the radius meet once, others don't; far fewer meet in a block than there are pairs of fingerprints and blocks."""
+    rng = np.random.default_rng(3)
+    items = rng.integers(-(2**63), 2**63 - 1, 40)
+    prints = [int(x) for x in rng.integers(-(2**63), 2**63 - 1, 300)]
+    prints += [int(i) ^ sum(1 << int(b) for b in rng.choice(63, rng.integers(0, 30), replace=False)) for i in items for _ in range(8)]
+    for radius in (23, 9, 3):
+        a = spark.createDataFrame([(i, p) for i, p in enumerate(prints)], "a long, x long").select("a", "x", F.explode(decontamination.own_blocks(F.col("x"))).alias("k"))
+        b = spark.createDataFrame([(i, int(p)) for i, p in enumerate(items)], "b long, y long").select("b", "y", F.explode(decontamination.near_blocks(F.col("y"), radius)).alias("k"))
+        met = {(r["a"], r["b"]) for r in a.join(b, "k").collect()}
+        near = {(i, j) for i, p in enumerate(prints) for j, q in enumerate(items) if ((p ^ int(q)) & (2**64 - 1)).bit_count() <= radius}
+        assert near <= met
+
+
+def test_plain_votes_are_the_packed_ones(spark):
+    rng = np.random.default_rng(1)
+    rows = [([int(x) for x in rng.integers(-(2**63), 2**63 - 1, n)],) for n in (1, 2, 37, 800)] + [([7] * 64,)]
+    df = spark.createDataFrame(rows, "h array<bigint>")
+    h, n = F.col("h"), F.size("h")
+    assert all(r[0] == r[1] for r in df.select(decontamination.packed_votes(h, n), decontamination.plain_votes(h, n)).collect())
+
+
+def test_copies_are_compared_once(spark, docs):
+    leak = " ".join(f"w{i}" for i in range(60))
+    df = docs([f"before {leak} after"] * 300 + ["clean words only"] * 50).repartition(8)
+    bench = spark.createDataFrame([(5, leak)], "item_id long, text string")
+    got = decontamination.contaminated(df, bench).collect()
+    assert sorted(r["doc_id"] for r in got) == list(range(300)) and {(r["start"], r["similarity"]) for r in got} == {(1, 1.0)}
+    assert decontamination.clean(df, bench).count() == 50
+    texts = df.select(F.xxhash64("text").alias("tid"), "text")
+    items = decontamination.items_of(bench)
+    assert decontamination._windows(texts, items, 5, 0.8, 1 << 12, 1000).count() == 3
+
+
 def test_documents_shorter_than_an_item(spark, docs):
     item = [f"v{i}" for i in range(50)]
     texts = [item[:48], item[3:47], item[:41], item[5:46], item[:40], item[:30], [*item[:20], "other", *item[21:48]], item[:4], ["z"] * 30]
@@ -245,6 +328,58 @@ def test_logits_against_all_pairs():
         assert abs(z - want) < 1e-5
 
 
+def test_exclusive_or_is_learned():
+    """Neither word tells anything alone: an additive model can't, pairs can."""
+    rng = np.random.default_rng(2)
+
+    def rows(n):
+        a, b = rng.integers(0, 2, (2, n))
+        noise = [" ".join(f"n{k}" for k in rng.integers(0, 400, 20)) for _ in range(n)]
+        return [f"{w} {'insult' if i else ''} {'people' if j else ''}".encode() for w, i, j in zip(noise, a, b, strict=True)], (a ^ b).astype(float)
+
+    texts, y = rows(3000)
+    m = toxicity.fit(*toxicity.terms_of(texts), y)
+    others, truth = rows(1000)
+    held = toxicity.terms_of(others)
+    right = lambda m: ((toxicity.sigmoid(toxicity.logits(m, *held)) >= 0.5) == truth).mean()
+    assert right(m) > 0.95
+    alone = toxicity.fit(*toxicity.terms_of(texts), y, rank=0)
+    assert right(alone) < 0.8
+
+
+def test_pair_gaps_against_counts():
+    rng = np.random.default_rng(3)
+    held = rng.random((500, 7)) < 0.4
+    y = (held[:, 0] ^ held[:, 1]).astype(float)
+    row, ids = np.nonzero(held)
+    got = toxicity.pair_gaps(ids, row, y, 7)
+    odds = lambda x: np.log((x.sum() + 0.5) / ((1 - x).sum() + 0.5))
+    want = np.zeros(7)
+    for i in range(7):
+        for j in range(7):
+            both = held[:, i] & held[:, j]
+            if i == j or both.sum() >= 0.9 * min(held[:, i].sum(), held[:, j].sum()):
+                continue
+            p = 1 / (1 + np.exp(-(odds(y[held[:, i]]) + odds(y[held[:, j]]) - odds(y))))
+            want[i] = max(want[i], abs(y[both].sum() - both.sum() * p) / np.sqrt(both.sum() * p * (1 - p) + 1))
+    assert np.allclose(got, want, rtol=1e-4)
+    assert got[:2].min() > 6 > got[2:].max()
+
+
+def test_scores_of_the_query_by_hand(spark):
+    """Every row's score from the model's numbers, term by term and pair by pair."""
+    d = "/root/testdata/sf0.001"
+    docs = spark.read.parquet(f"{d}/documents.parquet")
+    m = toxicity.train(docs, spark.read.parquet(f"{d}/labels.parquet"), ~queries.remainder_is(3, 1))
+    own = {int(t): k for k, t in enumerate(m.terms)}
+    texts = {r["doc_id"]: r["text"] for r in docs.collect()}
+    for r in queries.op10_toxicity(spark, d).collect():
+        terms, _ = toxicity.terms_of([(texts[r["doc_id"]] or "").encode()])
+        k = [own[t] for t in terms.tolist() if t in own]
+        z = m.bias + sum(float(m.weight[i]) for i in k) + sum(float(m.factors[i] @ m.factors[j]) for n, i in enumerate(k) for j in k[:n])
+        assert abs(r["score"] - 1 / (1 + np.exp(-z))) < 1e-4 and r["predicted"] == (r["score"] >= 0.7)
+
+
 def test_toxicity_held_out(spark):
     d = "/root/testdata/sf0.1"
     got = queries.op10_toxicity(spark, d).where("held_out").join(spark.read.parquet(f"{d}/labels.parquet"), "doc_id").toPandas()
