@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .words import chunks, grown
+from .words import chunks, fresh, grown
 
 DIM = 4096
 UNKNOWN = "und"
@@ -137,8 +137,8 @@ def identify(docs: DataFrame, model: Model, carry: tuple[str, ...] = ("doc_id",)
     """The carried columns and, under the given names, language, score and whether it is ambiguous, of every row."""
     shared = docs.sparkSession.sparkContext.broadcast(model)
     carry = list(carry)
-    rows = docs.select(*dict.fromkeys([*carry, "text"]))
-    schema = grown(docs.select(*carry).schema, f"`{names[0]}` string, `{names[1]}` double, `{names[2]}` boolean")
+    rows = docs.select(*[f"`{c}`" for c in dict.fromkeys([*carry, "text"])])
+    schema = grown(docs.select(*[f"`{c}`" for c in carry]).schema, f"`{names[0]}` string, `{names[1]}` double, `{names[2]}` boolean")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = shared.value
@@ -161,9 +161,9 @@ def known_language(docs: DataFrame, **options) -> DataFrame:
 
     Where no row has a language to learn from, texts with a letter are kept.
     """
-    names = ("__lang_pred", "__score", "__ambiguous")
+    names = tuple(fresh(docs.columns, "lang_pred", "score", "ambiguous"))
     model = train(docs, F.lit(True), **options)
     if not model.langs:
         return docs.where(F.col("text").rlike(r"\p{L}"))
     found = identify(docs, model, tuple(docs.columns), names)
-    return found.where(F.col(names[0]) != UNKNOWN).select(*docs.columns)
+    return found.where(F.col(names[0]) != UNKNOWN).select(*[f"`{c}`" for c in docs.columns])

@@ -33,7 +33,7 @@ from pyspark.sql import functions as F
 
 from ..session import broadcast_if_small, materialise, release
 from .components import components
-from .words import chunks, grown
+from .words import chunks, fresh, grown
 
 BITS = 64
 
@@ -76,8 +76,8 @@ def with_fingerprint(docs: DataFrame, width: int, name: str = "fp") -> DataFrame
     return docs.mapInArrow(run, grown(docs.schema, f"{name} long"))
 
 
-def with_set(docs: DataFrame, width: int) -> DataFrame:
-    """docs with __set, a hash of the text's set of shingles, and __fp and __fp2, that set's fingerprint."""
+def with_set(docs: DataFrame, width: int, names: list[str]) -> DataFrame:
+    """docs with three more columns: a hash of the text's set of shingles, and that set's fingerprint in two numbers."""
     columns = docs.columns
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -90,9 +90,9 @@ def with_set(docs: DataFrame, width: int) -> DataFrame:
                 h = np.unique(shingle_hashes(t, width))
                 rows.append((xxhash.xxh3_64_intdigest(h.tobytes()), majority(h), majority(second(h))))
             cols = [pa.array(np.array([r[0] for r in rows], np.uint64).view(np.int64)), *(pa.array([r[k] for r in rows], pa.int64()) for k in (1, 2))]
-            yield pa.RecordBatch.from_arrays([*batch.columns, *cols], names=[*columns, "__set", "__fp", "__fp2"])
+            yield pa.RecordBatch.from_arrays([*batch.columns, *cols], names=[*columns, *names])
 
-    return docs.mapInArrow(run, grown(docs.schema, "__set long, __fp long, __fp2 long"))
+    return docs.mapInArrow(run, grown(docs.schema, ", ".join(f"`{n}` long" for n in names)))
 
 
 def distances(x: np.ndarray, y) -> np.ndarray:
@@ -456,8 +456,8 @@ def compared(rows: DataFrame, least: float, cell: int = 1 << 18) -> DataFrame:
     return dealt.mapInArrow(run, "a long, b long")
 
 
-def similar(full: DataFrame, prints: DataFrame, width: int, least: float, **how) -> DataFrame:
-    """(node, root) of the sets of full (__set, text) that are linked by that similarity; prints has their id, fp, fp2.
+def similar(texts: DataFrame, prints: DataFrame, width: int, least: float, **how) -> DataFrame:
+    """(node, root) of the sets of texts (id, text) that are linked by that similarity; prints has their id, fp, fp2.
 
     Sets of one fingerprint are candidates: each is linked to the smallest of them, which stands for all in
     links between fingerprints. Each set's nearest candidate is verified first, which makes classes. Classes
@@ -471,10 +471,10 @@ def similar(full: DataFrame, prints: DataFrame, width: int, least: float, **how)
     same = prints.join(first.withColumnRenamed("id", "first"), "fp").where(F.col("id") != F.col("first"))
     found = found.select(F.col("sa").alias("a"), F.col("sb").alias("b"), "d").union(same.select("id", "first", F.lit(0)))
     found = materialise(found, "pairs")
-    release(full.sparkSession)
+    release(texts.sparkSession)
     wanted = found.select("a").union(found.select("b")).distinct().withColumnRenamed("a", "id")
-    sets = materialise(shingle_sets(full.select(F.col("__set").alias("id"), "text").join(wanted, "id", "left_semi"), width), "shingles")
-    release(full.sparkSession)
+    sets = materialise(shingle_sets(texts.join(wanted, "id", "left_semi"), width), "shingles")
+    release(texts.sparkSession)
     nearest = found.groupBy("a").agg(F.min(F.struct("d", "b")).alias("m")).select("a", "m.b")
     roots = components(verified(nearest, sets, least))
     of = [roots.select(F.col("node").alias(c), F.col("root").alias(f"r{c}")) for c in "ab"]
@@ -496,9 +496,10 @@ def first_of_each(docs: DataFrame, width: int = 5, least: float = 0.8, **how) ->
     agree, so the fingerprint has 128 bits here, and candidates agree in drawn bits, in one table at least of many.
     Repeated rows are one; among rows without a doc_id only copies are.
     """
-    full = materialise(with_set(docs, width), "documents-fp")
-    prints = materialise(full.groupBy(F.col("__set").alias("id")).agg(F.min("doc_id").alias("least"), F.min("__fp").alias("fp"), F.min("__fp2").alias("fp2")), "prints")
-    found = named(prints.select(F.col("id").alias("fp"), "least"), similar(full, prints, width, least, **how))
-    first = found.select(F.col("component_id").alias("__id"), F.col("first_fp").alias("__first")).distinct()
-    kept = full.join(first, (full["__set"] == first["__first"]) & full["doc_id"].eqNullSafe(first["__id"]), "left_semi")
-    return kept.dropDuplicates(["doc_id", "__set"]).select(*docs.columns)
+    own, fp, fp2 = names = fresh(docs.columns, "set", "fp", "fp2")
+    full = materialise(with_set(docs, width, names), "documents-fp")
+    prints = materialise(full.groupBy(F.col(own).alias("id")).agg(F.min("doc_id").alias("least"), F.min(fp).alias("fp"), F.min(fp2).alias("fp2")), "prints")
+    found = named(prints.select(F.col("id").alias("fp"), "least"), similar(full.select(F.col(own).alias("id"), "text"), prints, width, least, **how))
+    first = found.select("component_id", "first_fp").distinct()
+    kept = full.join(first, (full[own] == first["first_fp"]) & full["doc_id"].eqNullSafe(first["component_id"]), "left_semi")
+    return kept.dropDuplicates(["doc_id", own]).select(*[f"`{c}`" for c in docs.columns])

@@ -52,3 +52,11 @@ def encode(texts: list[bytes | None], lower: bool = False) -> tuple[np.ndarray,
 def grown(schema: StructType, ddl: str) -> StructType:
     """A schema with more fields at its end (StructType.add would change the one given)."""
     return StructType([*schema.fields, *StructType.fromDDL(ddl).fields])
+
+
+def fresh(taken: list[str], *names: str) -> list[str]:
+    """The names, with underscores in front until no taken column has them in any case."""
+    used = {c.lower() for c in taken}
+    while used & {n.lower() for n in names}:
+        names = tuple(f"_{n}" for n in names)
+    return list(names)

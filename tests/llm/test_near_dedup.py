@@ -105,6 +105,26 @@ def test_first_of_each(docs):
     assert sorted(str(r["doc_id"]) for r in got.collect()) == ["2", "6", "7", "None"]
 
 
+def test_columns_of_any_name(docs):
+    from cairnfield.llm import language_id
+
+    names = {"fp": "set", "pos": "FP2", "source": "component_id", "lang": "first_fp", "score": "lang_pred"}
+    df = docs(["a b c", "a b c", "d e f g h i", None], langs=["x"] * 4).withColumnsRenamed(names).withColumn("fp", F.lit("z"))
+    got = nd.first_of_each(df)
+    assert got.columns == df.columns and sorted(r["doc_id"] for r in got.collect()) == [0, 2, 3]
+    known = language_id.known_language(df.withColumn("lang", F.lit("en")))
+    assert known.columns == [*df.columns, "lang"] and sorted(r["doc_id"] for r in known.collect()) == [0, 1, 2]
+
+
+def test_pages_of_one_line_stay(docs):
+    """A line that fills both texts makes their fingerprints equal, by repeats, but not their sets of shingles."""
+    line = "this line is on every page "
+    rng = np.random.default_rng(0)
+    texts = [line * 400 + " ".join(f"own{v}" for v in rng.integers(0, 10**6, 60)) for _ in range(3)]
+    texts += [line + texts[0][len(line) * 400 :] + " " + line * 30]
+    assert sorted(r["doc_id"] for r in nd.first_of_each(docs(texts)).collect()) == [0, 1, 2]
+
+
 def test_long_chain_is_one_component(spark):
     links = spark.range(200).selectExpr("id a", "id + 1 b").union(spark.sql("select 500L a, 501L b")).union(spark.sql("select 9L a, 9L b"))
     got = {r["node"]: r["root"] for r in components(links).collect()}
@@ -141,7 +161,7 @@ def test_similar_texts_against_all_pairs(docs):
     want = {i for i in range(len(texts)) if root(i) == i}
     got = {r["doc_id"] for r in nd.first_of_each(docs(texts)).collect()}
     assert len(want) < len(texts)
-    assert want <= got and len(got - want) <= 0.02 * len(texts)
+    assert got == want
 
 
 def test_near_earlier_against_all_pairs():
