@@ -56,13 +56,13 @@ def let(value: Column, then: Callable[[Column], Column]) -> Column:
 
 
 def shingles(words: Column, width: int) -> Column:
-    """Hashes of all runs of width words; none where there are fewer."""
+    """Hashes of all runs of width words, from the words' hashes; none where there are fewer."""
 
-    def runs(w: Column) -> Column:
-        each = F.transform(F.sequence(F.lit(1), F.size(w) - (width - 1)), lambda i: F.xxhash64(F.slice(w, i, width)))
-        return F.when(F.size(w) >= width, each).otherwise(F.array().cast("array<bigint>"))
+    def runs(h: Column) -> Column:
+        each = F.transform(F.sequence(F.lit(0), F.size(h) - width), lambda i: F.xxhash64(*[F.get(h, i + k) for k in range(width)]))
+        return F.when(F.size(h) >= width, each).otherwise(F.array().cast("array<bigint>"))
 
-    return let(words, runs)
+    return let(F.transform(words, lambda w: F.xxhash64(w)), runs)
 
 
 def spread(nibble: Column) -> Column:
@@ -147,8 +147,7 @@ def items_of(benchmark: DataFrame) -> DataFrame:
     """item_id, length, width (of a shingle), hashes, size."""
     rows = benchmark.select("item_id", words_of(F.col("text")).alias("w")).withColumn("length", F.size("w")).where(F.col("length") > 0)
     rows = rows.select("item_id", "length", F.least("length", F.lit(WIDTH)).alias("width"), "w")
-    whole = F.array(F.xxhash64("w"))
-    hashes = F.when(F.col("length") >= WIDTH, shingles(F.col("w"), WIDTH)).otherwise(whole)
+    hashes = F.coalesce(*[F.when(F.col("width") == k, shingles(F.col("w"), k)) for k in range(WIDTH, 0, -1)])
     return rows.select("item_id", "length", "width", hashes.alias("hashes")).withColumn("size", F.size("hashes"))
 
 
