@@ -26,9 +26,10 @@ def components(links: DataFrame, most_rounds: int = 60) -> DataFrame:
         mark = size
         both = now.union(now.select("b", "a"))
         least = both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("m"))
-        large = both.join(least, "a").where((b > a) & (b != F.col("m"))).select(b.alias("a"), F.col("m").alias("b")).distinct()
+        # Broadcasts would pass through the driver in every round; merge joins of large hubs are split at run time.
+        large = both.join(least.hint("merge"), "a").where((b > a) & (b != F.col("m"))).select(b.alias("a"), F.col("m").alias("b")).distinct()
         least = large.groupBy("a").agg(F.min("b").alias("m"))
-        small = large.join(least, "a").where(b != F.col("m")).select(b.alias("a"), F.col("m").alias("b"))
+        small = large.join(least.hint("merge"), "a").where(b != F.col("m")).select(b.alias("a"), F.col("m").alias("b"))
         now = materialise(small.union(least.select("a", F.col("m").alias("b"))).distinct(), "links")
     else:
         raise RuntimeError(f"components didn't settle in {most_rounds} rounds")
