@@ -239,12 +239,15 @@ def _candidates(windows: DataFrame, items: DataFrame, radius: int, max_broadcast
     """tid, item_id, start, hashes, item_hashes: windows and items of one length with fingerprints within the radius."""
     keys = windows.select("*", F.explode_outer(prints(F.col("hashes"))).alias("fp"))
     keys = keys.select("*", F.explode(own_blocks(F.col("fp"))).alias("k")).select("*", "k.block", "k.bits")
-    table = items.select("item_id", "length", F.col("hashes").alias("item_hashes"), F.explode_outer(prints(F.col("hashes"))).alias("item_fp"))
-    table = table.select("*", F.explode(near_blocks(F.col("item_fp"), radius)).alias("k")).select("item_id", "length", "item_fp", "item_hashes", "k.block", "k.bits")
+    # Shingles stay out of the table of keys, which has many rows for each item.
+    items = items.select("item_id", "length", F.col("hashes").alias("item_hashes"), F.xxhash64("hashes").alias("item"))
+    table = items.select("item_id", "item", "length", F.explode_outer(prints(F.col("item_hashes"))).alias("item_fp"))
+    table = table.select("*", F.explode(near_blocks(F.col("item_fp"), radius)).alias("k")).select("item_id", "item", "length", "item_fp", "k.block", "k.bits")
     apart = F.col("fp").bitwiseXOR(F.col("item_fp"))
     # Of several blocks that are near, the first one makes the candidate.
     first = F.coalesce(*[F.when(F.bit_count(block_bits(apart, i)) <= radius // BLOCKS, F.lit(i)) for i in range(BLOCKS)])
-    return keys.join(broadcast_if_small(table, max_broadcast), ["length", "block", "bits"]).where((F.bit_count(apart) <= radius) & (first == F.col("block")))
+    near = keys.join(broadcast_if_small(table, max_broadcast), ["length", "block", "bits"]).where((F.bit_count(apart) <= radius) & (first == F.col("block")))
+    return near.join(broadcast_if_small(items.select("item", "item_hashes").dropDuplicates(["item"]), max_broadcast), "item")
 
 
 def _verified(near: DataFrame, least: float) -> DataFrame:
