@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.lattice import Raster
-from .points import GROUND, clean
+from .points import clean
 
 #: Points of a search cell, about.
 _PER_CELL = 24
@@ -107,38 +107,42 @@ def radius_counts(points: DataFrame, radius: float, key: str = "point_id") -> Da
     return points.select(key).join(found, key, "left").select(key, F.coalesce("neighbours", F.lit(0).cast("long")).alias("neighbours"))
 
 
-def bilinear(points: DataFrame, cells: DataFrame, raster: Raster, name: str = "sampled", key: str = "point_id") -> DataFrame:
+def quads(cells: DataFrame) -> DataFrame:
+    """row, col, v00, v01, v10, v11: each 2 x 2 block of cells that all have a value, by its first cell."""
+    corners = list(itertools.product((0, 1), repeat=2))
+    each = F.array(*[F.struct((F.col("row") - i).alias("row"), (F.col("col") - j).alias("col"), F.lit(2 * i + j).alias("k")) for i, j in corners])
+    rows = cells.where(F.col("value").isNotNull()).select("value", F.explode(each).alias("o")).select("o.row", "o.col", "o.k", "value")
+    values = [F.max(F.when(F.col("k") == 2 * i + j, F.col("value"))).alias(f"v{i}{j}") for i, j in corners]
+    return rows.groupBy("row", "col").agg(F.count(F.lit(1)).alias("n"), *values).where(F.col("n") == 4).drop("n")
+
+
+def bilinear(points: DataFrame, cells: DataFrame, raster: Raster, name: str = "sampled") -> DataFrame:
     """points with the raster's height at each; null unless all four cell centres around have a value.
 
-    Four cells a point, an equi-join on the cell, a weighted sum; key is unique.
+    Blocks of four cells are rows of their own, so points take one equi-join on the block, no copy and no key.
     """
     cf, rf = (F.col("x") - raster.west) / raster.res - 0.5, (raster.north - F.col("y")) / raster.res - 0.5
-    base = points.select(key, F.floor(cf).cast("long").alias("c"), F.floor(rf).cast("long").alias("r"), (cf - F.floor(cf)).alias("fx"), (rf - F.floor(rf)).alias("fy"))
-    fx, fy = F.col("fx"), F.col("fy")
-    corners = F.array(*[F.struct((F.col("r") + i).alias("row"), (F.col("c") + j).alias("col"), ((fy if i else 1 - fy) * (fx if j else 1 - fx)).alias("w")) for i, j in itertools.product((0, 1), repeat=2)])
-    asked = base.select(key, F.explode(corners).alias("o")).select(key, "o.row", "o.col", "o.w")
-    found = asked.join(cells.select("row", "col", "value"), ["row", "col"]).groupBy(key).agg(F.count(F.lit(1)).alias("__n"), F.sum(F.col("w") * F.col("value")).alias("__v"))
-    found = found.where(F.col("__n") == 4).select(key, F.col("__v").alias(name))
-    return points.join(found, key, "left")
+    base = points.select("*", F.floor(cf).cast("long").alias("__col"), F.floor(rf).cast("long").alias("__row"), (cf - F.floor(cf)).alias("__fx"), (rf - F.floor(rf)).alias("__fy"))
+    around = quads(cells).withColumnsRenamed({c: f"__{c}" for c in ("row", "col", "v00", "v01", "v10", "v11")})
+    fx, fy = F.col("__fx"), F.col("__fy")
+    upper = F.col("__v00") * (1 - fx) + F.col("__v01") * fx
+    lower = F.col("__v10") * (1 - fx) + F.col("__v11") * fx
+    found = base.join(around, ["__row", "__col"], "left")
+    return found.select(*[F.col(f"`{c}`") for c in points.columns], (upper * (1 - fy) + lower * fy).alias(name))
 
 
-def _moved(points: DataFrame, cells: DataFrame, raster: Raster, sign: int, key: str) -> DataFrame:
-    rows = bilinear(points, cells, raster, "__h", key)
+def _moved(points: DataFrame, cells: DataFrame, raster: Raster, sign: int) -> DataFrame:
+    rows = bilinear(points, cells, raster, "__h")
     move = F.col("__h").isNotNull()
     if "withheld" in points.columns:
         move = move & ~F.coalesce(F.col("withheld"), F.lit(False))
     return rows.withColumn("z", F.when(move, F.col("z") + sign * F.col("__h")).otherwise(F.col("z"))).drop("__h")
 
 
-def normalise_heights(points: DataFrame, cells: DataFrame, raster: Raster, key: str = "point_id") -> DataFrame:
+def normalise_heights(points: DataFrame, cells: DataFrame, raster: Raster) -> DataFrame:
     """z above the terrain; points outside it, and withheld ones, keep their z."""
-    return _moved(points, cells, raster, -1, key)
-
-
-def denormalise_heights(points: DataFrame, cells: DataFrame, raster: Raster, key: str = "point_id") -> DataFrame:
-    return _moved(points, cells, raster, 1, key)
+    return _moved(points, cells, raster, -1)
 
 
-def ground_shares(points: DataFrame) -> DataFrame:
-    """How many points are ground, one row."""
-    return points.agg(F.count(F.lit(1)).alias("n"), F.count(F.when(F.col("classification") == GROUND, 1)).alias("ground"))
+def denormalise_heights(points: DataFrame, cells: DataFrame, raster: Raster) -> DataFrame:
+    return _moved(points, cells, raster, 1)

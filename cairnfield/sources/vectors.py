@@ -18,6 +18,8 @@ from ..operators.tables import as_text
 _ENVELOPES = {0: 0, 1: 32, 2: 48, 3: 48, 4: 64}
 _NUMERIC = ("INT", "REAL", "DOUBLE", "FLOAT", "NUMERIC", "DECIMAL")
 RANGE = 100_000
+#: Properties of a GeoJSON file become columns.
+MOST_KEYS = 10_000
 
 
 def read_csv(spark: SparkSession, path: str) -> DataFrame:
@@ -104,7 +106,9 @@ def read_geojson(spark: SparkSession, path: str) -> DataFrame:
     features = parsed.select(F.explode(F.when(F.col("d.type") == "FeatureCollection", F.col("d.features")).otherwise(F.array("doc"))).alias("f"))
     rows = features.select(F.from_json("f", "struct<geometry string, properties map<string,string>>").alias("f"), F.monotonically_increasing_id().alias("at"))
     keys = rows.select(F.posexplode(F.map_keys("f.properties")).alias("pos", "key"), "at").groupBy("key").agg(F.min(F.struct("at", "pos")).alias("first")).orderBy("first")
-    names = [r["key"] for r in keys.limit(10_000).collect()]
+    names = [r["key"] for r in keys.limit(MOST_KEYS + 1).collect()]
+    if len(names) > MOST_KEYS:
+        raise ValueError(f"more than {MOST_KEYS} kinds of properties don't make a table")
     shape = F.col("f.geometry")
     good = F.get_json_object(shape, "$.type").isNotNull() & F.get_json_object(shape, "$.coordinates").isNotNull()
     return rows.select(*[F.coalesce(F.col("f.properties")[n], F.lit("")).alias(n) for n in names], F.when(good, shape).alias("geometry"))
