@@ -8,13 +8,22 @@ engines, make a survey of 200 x 200 m out of lineitem, and one with unique ids o
 from __future__ import annotations
 
 import itertools
+import json
+import os
+import uuid
 from collections.abc import Callable
+from urllib.parse import urlparse
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .functions.lattice import Raster, Tiles
 from .operators import ground, metrics, neighbours, points, raster, report, surfaces, tables, tiling
+from .plans.graph import Graph, over_files
+from .plans.nodes import NODES
+from .session import shared_dir
+from .sources import grids, las, sinks, vectors
+from .streaming import queue
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -132,10 +141,10 @@ def grid_partials(spark, sf_dir):
     return out.withColumns({c: F.round(c, 3) + F.lit(0.0) for c in ("z_sum", "z_sumsq", "i_sum", "i_sumsq")})
 
 
-@query(f"with {P}, partial as ({_PARTIAL}), final as ({_FINAL}) select cell_col, cell_row, gid, point_count, {r6('density', 'z_mean', 'z_std', 'z_min', 'z_max', 'z_range')}, ground_count, {r6('ground_cover')}, noise_count from final")
+@query(f"with {P}, partial as ({_PARTIAL}), final as ({_FINAL}) select {_replace(_DOUBLES)} from final")
 def consolidate_grid(spark, sf_dir):
     p = line_points(spark, sf_dir)
-    return rounded(metrics.consolidate_grid(*[metrics.grid_metrics(p.where(t), 10.0) for t in (F.col("x") < 97.5, F.col("x") >= 97.5)], res=10.0))
+    return rounded(metrics.consolidate_grid(*[metrics.grid_metrics(p.where(t), 10.0, sums=True) for t in (F.col("x") < 97.5, F.col("x") >= 97.5)], res=10.0))
 
 
 # --- filters ---------------------------------------------------------------------
@@ -223,9 +232,10 @@ def _cells(name: str, run, sql: str) -> None:
 
 for _how, _agg in (("min", "min(z)"), ("mean", "avg(z)"), ("median", "quantile_cont(z, 0.5)")):
     _cells(f"dtm_{_how}", lambda p, h=_how: surfaces.dtm(p, CELLS, h), f"select row, col, {_agg} as value from cells where {SEEN} and classification = 2 group by 1, 2")
-for _how, _agg in (("max", "max(z)"), ("mean", "avg(z)")):
+for _how, _agg in (("max", "max(z)"), ("mean", "avg(z)"), ("min", "min(z)"), ("median", "quantile_cont(z, 0.5)")):
     _cells(f"dsm_{_how}", lambda p, h=_how: surfaces.dsm(p, CELLS, h), f"select row, col, {_agg} as value from cells where {SEEN} group by 1, 2")
 _cells("dtm_idw", lambda p: surfaces.dtm(p, CELLS, "idw"), f"select row, col, sum(z / greatest(pow(z - m, 2), 1e-6)) / sum(1 / greatest(pow(z - m, 2), 1e-6)) as value from (select row, col, z, avg(z) over (partition by row, col) as m from cells where {SEEN} and classification = 2) group by 1, 2")
+_cells("dsm_idw", lambda p: surfaces.dsm(p, CELLS, "idw"), f"select row, col, sum(z / greatest(pow(z - m, 2), 1e-6)) / sum(1 / greatest(pow(z - m, 2), 1e-6)) as value from (select row, col, z, avg(z) over (partition by row, col) as m from cells where {SEEN}) group by 1, 2")
 _cells("dtm_tile_fallback", lambda p: surfaces.dtm(tiling.with_tiles(p.where("not (x < 50 and y < 50 and classification = 2)"), TILES), CELLS, "min", ("tile_col", "tile_row")),
        f"select row, col, min(z) as value from (select *, max(case when classification = 2 then 1 else 0 end) over (partition by tile_col, tile_row) as g from cells where {SEEN} and not (x < 50 and y < 50 and classification = 2)) where classification = 2 or g = 0 group by 1, 2")
 _cells("penetration", lambda p: surfaces.canopy_penetration(tiling.with_tiles(p.where("not (x < 50 and y < 50 and classification = 2)"), TILES), CELLS),
@@ -237,14 +247,14 @@ _cells("intensity_cos", lambda p: surfaces.intensity_ortho(p, CELLS, True, 45.0)
 
 # --- raster algebra, stencils, terrain ---------------------------------------------------
 
-_DEM = f"dem as (select row, col, max(z) as value from (select *, {C10} from points) where {SEEN} and (cast(floor(x * 7e0 + y * 3e0) as bigint) % 5) <> 0 group by 1, 2)"
+_DEM = f"dem as (select row, col, max(z) as value from (select *, {C10} from points) where {SEEN} group by 1, 2)"
 _LOW = f"low as (select row, col, min(z) as value from (select *, {C10} from points) where {SEEN} and classification = 2 group by 1, 2)"
 #: A raster with holes: sparse cells of 4 m.
 _HOLED = f"dem as (select row, col, avg(z) as value from (select *, {C4} from points) where {SEEN} and return_number = 1 and classification = 5 and overlap group by 1, 2)"
 
 
 def _dem(spark, sf_dir) -> DataFrame:
-    return surfaces.dsm(line_points(spark, sf_dir).where("(cast(floor(x * 7e0 + y * 3e0) as bigint) % 5) <> 0"), CELLS)
+    return surfaces.dsm(line_points(spark, sf_dir), CELLS)
 
 
 def _low(spark, sf_dir) -> DataFrame:
@@ -328,7 +338,7 @@ def _pct(p: int) -> str:
     return f"(select b.bin + case when b.c > 0 then least(greatest(({p / 100}e0 * w.n - b.below) / b.c, 0e0), 1e0) else 5e-1 end from cum b where b.cell_col = w.cell_col and b.cell_row = w.cell_row and b.below + b.c >= {p / 100}e0 * w.n order by b.bin limit 1) as p{p}"
 
 
-@query(f"""with {P}, {_VEG}, w as (select cell_col, cell_row, count(*) as n, count(*) filter (bin >= 2) as canopy, count(*) filter (bin < 2) as s0, count(*) filter (bin between 2 and 9) as s1, count(*) filter (bin >= 10) as s2 from veg group by 1, 2),
+_VEG_FINAL = f"""with {P}, {_VEG}, w as (select cell_col, cell_row, count(*) as n, count(*) filter (bin >= 2) as canopy, count(*) filter (bin < 2) as s0, count(*) filter (bin between 2 and 9) as s1, count(*) filter (bin >= 10) as s2 from veg group by 1, 2),
   bins as (select w.cell_col, w.cell_row, r.range as bin, count(veg.bin) as c from w cross join range(61) r left join veg on veg.cell_col = w.cell_col and veg.cell_row = w.cell_row and veg.bin = r.range group by 1, 2, 3),
   cum as (select *, coalesce(sum(c) over (partition by cell_col, cell_row order by bin rows between unbounded preceding and 1 preceding), 0) as below from bins),
   f as (select cell_col, cell_row, sum(case when c > 0 then -(c / cast(n as double)) * ln(c / cast(n as double)) else 0e0 end) as fhd from bins join w using (cell_col, cell_row) group by 1, 2),
@@ -336,11 +346,22 @@ def _pct(p: int) -> str:
   select cell_col, cell_row, n as point_count, round(cover, 6) as cover, round(case when cover <= 0 then 0e0 else least(5e0, -ln(greatest(1 - cover, 1e-9)) / 5e-1) end, 6) + 0e0 as lai, round(1 - cover, 6) as vci, round(fhd, 6) as fhd,
   round((case when s0 > 0 then -(s0 / cast(n as double)) * ln(s0 / cast(n as double)) else 0e0 end) + (case when s1 > 0 then -(s1 / cast(n as double)) * ln(s1 / cast(n as double)) else 0e0 end) + (case when s2 > 0 then -(s2 / cast(n as double)) * ln(s2 / cast(n as double)) else 0e0 end), 6) + 0e0 as shannon_h,
   round(s0 / cast(n as double), 6) as low_density, round(s1 / cast(n as double), 6) as mid_density, round(s2 / cast(n as double), 6) as high_density,
-  {r6('p10', 'p25', 'p50', 'p75', 'p90', 'p95', 'p99')}, round(case when p90 <> p10 then (p90 - 2 * p50 + p10) / (p90 - p10) end, 6) + 0e0 as l_skewness from q join f using (cell_col, cell_row)""")
+  {r6('p10', 'p25', 'p50', 'p75', 'p90', 'p95', 'p99')}, round(case when p90 <> p10 then (p90 - 2 * p50 + p10) / (p90 - p10) end, 6) + 0e0 as l_skewness from q join f using (cell_col, cell_row)"""
+
+
+@query(_VEG_FINAL)
 def veg_metrics(spark, sf_dir):
     return rounded(metrics.vegetation_final(_veg(spark, sf_dir)))
 
 
+@query(_VEG_FINAL)
+def consolidate_vegetation(spark, sf_dir):
+    """Finished tables of two batches as one: the same as that of the whole."""
+    h = metrics.vegetation_heights(tiling.with_tiles(line_points(spark, sf_dir), TILES))
+    halves = [metrics.vegetation_final(metrics.vegetation_partial(h.where(t), 10.0), bins=True) for t in (F.col("x") < 97.5, F.col("x") >= 97.5)]
+    return rounded(metrics.consolidate_vegetation(*halves))
+
+
 @query(f"with {P}, {_VEG} select cell_col, cell_row, bin, 2 * count(*) as n from veg group by 1, 2, 3")
 def veg_hist_merged(spark, sf_dir):
     v = _veg(spark, sf_dir)
@@ -459,9 +480,9 @@ def _terrain_cells(spark, sf_dir) -> DataFrame:
     return surfaces.dtm(event_points(spark, sf_dir), TERRAIN)
 
 
-# Heights are multiples of 1e-10, so some lie halfway between two rounded values; the shift moves all of them off.
+# Heights are multiples of 1e-10: of millimetres, few lie halfway between two.
 for _name, _sign, _run in (("normalise_heights", "-", neighbours.normalise_heights), ("denormalise_heights", "+", neighbours.denormalise_heights)):
-    query(f"with {E}, {_TER}, {_BIL} select point_id, round(case when h is not null and not withheld then z {_sign} h else z end + 3.33e-11, 6) + 0e0 as z from s", _name)(lambda s, d, f=_run: rounded(f(event_points(s, d), _terrain_cells(s, d), TERRAIN).select("point_id", (F.col("z") + F.lit(3.33e-11)).alias("z"))))
+    query(f"with {E}, {_TER}, {_BIL} select point_id, round(case when h is not null and not withheld then z {_sign} h else z end, 3) + 0e0 as z from s", _name)(lambda s, d, f=_run: rounded(f(event_points(s, d), _terrain_cells(s, d), TERRAIN).select("point_id", "z"), 3))
 
 # --- tables --------------------------------------------------------------------------------------
 
@@ -531,7 +552,175 @@ def strip_rmsd(spark, sf_dir):
     return report.strip_agreement(line_points(spark, sf_dir).withColumn("z", F.col("z") / F.lit(100.0)))
 
 
+# --- files: what is written is read again --------------------------------------------------------------
+
+
+def _path(spark, name: str) -> str:
+    """A new place in the shared folder, which these formats reach as files."""
+    where = urlparse(shared_dir(spark))
+    if where.scheme not in ("", "file"):
+        raise ValueError("these formats need a shared folder that is mounted")
+    return f"{where.path}/{uuid.uuid4().hex}-{name}"
+
+
+_LAS = ("intensity", "return_number", "number_of_returns", "classification", "point_source_id")
+_FLAGS = ("withheld", "overlap", "synthetic", "key_point")
+
+
+def _las(spark, sf_dir, where: str = "true") -> str:
+    path = _path(spark, "survey.las")
+    las.write_las(line_points(spark, sf_dir).where(where), path)
+    return path
+
+
+@query(f"with {P} select {', '.join(f'cast(round({c} * 1000) as bigint) as {c}' for c in 'xyz')}, {', '.join(f'cast({c} as bigint) as {c}' for c in _LAS)}, cast(scan_angle as bigint) as scan_angle, gps_time, {', '.join(_FLAGS)} from points")
+def las_round_trip(spark, sf_dir):
+    """A survey as a LAS file, in millimetres."""
+    got = las.read_las(spark, _las(spark, sf_dir))
+    return got.select(*[F.round(F.col(c) * 1000).cast("long").alias(c) for c in "xyz"], *[F.col(c).cast("long").alias(c) for c in _LAS], F.round("scan_angle").cast("long").alias("scan_angle"), "gps_time", *_FLAGS)
+
+
+@query(f"with {P} select src, count(*) as n, count(distinct point_id // 1099511627776) as files, count(distinct point_id) as ids from (select case when x < 100 then 0 else 1 end as src, (case when x < 100 then 0 else 1099511627776 end) + row_number() over (partition by x < 100) as point_id from points) group by 1")
+def las_folder_ids(spark, sf_dir):
+    """Two files of a folder: ids are unique over both."""
+    folder = _path(spark, "folder")
+    os.makedirs(folder)
+    for i, where in enumerate(("x < 100", "x >= 100")):
+        las.write_las(line_points(spark, sf_dir).where(where), f"{folder}/{i}.las")
+    got = las.read_las(spark, folder).select(F.substring("src", 1, 1).cast("int").alias("src"), "point_id")
+    return got.groupBy("src").agg(F.count(F.lit(1)).alias("n"), F.countDistinct(F.shiftright("point_id", las.FILE_BITS)).alias("files"), F.countDistinct("point_id").alias("ids"))
+
+
+@query(f"with {P}, h as (select x < 100 as west, count(*) as n, min(x) as x0, max(x) as x1, min(y) as y0, max(y) as y1 from points group by 1) select cast(sum(n) as bigint) as points, round((max(x1) - min(x0)) * (max(y1) - min(y0)), 6) as area from h where greatest(abs(x0), abs(x1)) > 180 or greatest(abs(y0), abs(y1)) > 90")
+def las_union_area(spark, sf_dir):
+    """Points and the box around two files, by their headers."""
+    heads = [las.read_header(_las(spark, sf_dir, w)) for w in ("x < 100", "x >= 100")]
+    n, area = las.union_area(heads)
+    return spark.createDataFrame([(n, round(area, 6))], "points long, area double")
+
+
+@query(f"with {P}, {_CELL} select row, col, round(min(z), 6) + 0e0 as value from cells where {SEEN} and classification = 2 group by 1, 2")
+def geotiff_round_trip(spark, sf_dir):
+    path = _path(spark, "dtm.tif")
+    grids.write_geotiff(_low(spark, sf_dir), CELLS, path)
+    return rounded(grids.read_geotiff(spark, path)[1].select("row", "col", "value"))
+
+
+@query(f"with {P}, {_CELL} select row, col, round(avg(z), 6) + 0e0 as value from cells where {SEEN} group by 1, 2")
+def ascii_grid_round_trip(spark, sf_dir):
+    path = _path(spark, "dsm.asc")
+    grids.write_ascii(surfaces.dsm(line_points(spark, sf_dir), CELLS, "mean"), CELLS, path)
+    return rounded(grids.read_ascii(spark, path)[1].select("row", "col", "value"))
+
+
+@query("select cast(s_suppkey as varchar) as s_suppkey, s_name, cast(s_nationkey as varchar) as s_nationkey from supplier")
+def csv_round_trip(spark, sf_dir):
+    path = _path(spark, "suppliers")
+    vectors.write_csv_twin(spark.read.parquet(f"{sf_dir}/supplier.parquet").select("s_suppkey", "s_name", "s_nationkey"), path)
+    return vectors.read_csv(spark, path)
+
+
+@query(f"with {P}, partial as ({_PARTIAL}), final as ({_FINAL}) select gid, cast(point_count as double) as point_count, round(z_mean, 6) as z_mean, cast(93 as integer) as geom_bytes from final")
+def gpkg_round_trip(spark, sf_dir):
+    path = _path(spark, "cells.gpkg")
+    vectors.write_gpkg(metrics.grid_metrics(line_points(spark, sf_dir), 10.0).select("cell_col", "cell_row", "gid", "point_count", "z_mean"), path, res=10.0)
+    return vectors.read_gpkg(spark, path).select("gid", "point_count", F.round("z_mean", 6).alias("z_mean"), F.length("geom").alias("geom_bytes"))
+
+
+@query("select cast(n_nationkey as varchar) as key, n_name as name, 'Point' as kind from nation")
+def geojson_read(spark, sf_dir):
+    path = _path(spark, "nations.json")
+    rows = spark.read.parquet(f"{sf_dir}/nation.parquet").collect()  # the table has 25 rows
+    features = [{"type": "Feature", "properties": {"key": r["n_nationkey"], "name": r["n_name"]}, "geometry": {"type": "Point", "coordinates": [r["n_nationkey"], 0]}} for r in rows]
+    with open(path, "w", encoding="utf-8") as f:
+        json.dump({"type": "FeatureCollection", "features": features}, f)
+    return vectors.read_geojson(spark, path).select("key", "name", F.get_json_object("geometry", "$.type").alias("kind"))
+
+
+@query(f"with {P}, p as (select *, {TILE} from points) select tile_col, tile_row, count(*) as n, round(sum(z), 3) as z_sum from p group by 1, 2")
+def export_points(spark, sf_dir):
+    """Buffered tiles of two halves as one table, without their buffers."""
+    tiled = tiling.with_tiles(line_points(spark, sf_dir), TILES, 5.0)
+    path = _path(spark, "export")
+    sinks.export_points([tiled.where("x < 100"), tiled.where("x >= 100")], path)
+    return spark.read.parquet(path).groupBy("tile_col", "tile_row").agg(F.count(F.lit(1)).alias("n"), F.round(F.sum("z"), 3).alias("z_sum"))
+
+
+@query(f"with {P} select count(*) as point_count, round(min(z), 6) as z_min, round(max(z), 6) as z_max, max(gps_time) as gps_max from points")
+def file_info_json(spark, sf_dir):
+    path = _path(spark, "info.json")
+    vectors.write_json(report.with_shape(report.summary(line_points(spark, sf_dir))).first().asDict(), path)
+    return spark.read.json(path, multiLine=True).select("point_count", F.round("z_min", 6).alias("z_min"), F.round("z_max", 6).alias("z_max"), F.col("gps_max").cast("double").alias("gps_max"))
+
+
+# --- graphs, queues, streams ----------------------------------------------------------------------
+
+
+def _node(name: str, spark, **given) -> DataFrame:
+    return NODES[name].run(spark, **given, **{k: v for k, v in NODES[name].defaults.items() if k not in given})["raster"][1]
+
+
+_cells("consolidate_dtm", lambda p: _node("consolidate_dtm_mosaic", p.sparkSession, rasters=[(CELLS, surfaces.dtm(p.where(t), CELLS)) for t in ("x < 100", "x >= 100")]), f"select row, col, min(z) as value from cells where {SEEN} and classification = 2 group by 1, 2")
+_cells("consolidate_dsm", lambda p: _node("consolidate_dsm_mosaic", p.sparkSession, rasters=[(CELLS, surfaces.dsm(p.where(t), CELLS)) for t in ("x < 100", "x >= 100")]), f"select row, col, max(z) as value from cells where {SEEN} group by 1, 2")
+_cells("consolidate_chm", lambda p: _node("consolidate_chm_mosaic", p.sparkSession, rasters=[(CELLS, surfaces.canopy_height(surfaces.dsm(p.where(t), CELLS), surfaces.dtm(p.where(t), CELLS), 0.0, 60.0)) for t in ("x < 100", "x >= 100")]),
+       f"select row, col, least(greatest(d - g, 0e0), 60e0) as value from (select row, col, max(z) as d, min(z) filter (classification = 2) as g from cells where {SEEN} group by 1, 2) where g is not null")
+
+_STEPS = {
+    "format": "survey-graph", "version": 2,
+    "nodes": [{"iid": "a", "id": "load_points", "config": {"tile_size": 50.0, "buffer": 5.0}}, {"iid": "b", "id": "class_filter", "config": {"classes": "2,5"}}, {"iid": "c", "id": "grid_metrics", "config": {"res": 10.0}}],
+    "edges": [{"src": "a", "dst": "b", "out_type": "point_cloud", "in_type": "point_cloud"}, {"src": "b", "dst": "c", "out_type": "point_cloud", "in_type": "point_cloud"}],
+}
+
+
+def _table_of(spark, sf_dir, where: str) -> str:
+    path = _path(spark, "points.parquet")
+    line_points(spark, sf_dir).where(where).write.parquet(path)
+    return path
+
+
+_CHOSEN = f"with {P.replace('from lineitem)', 'from lineitem), chosen as (select * from points where classification in (2, 5))')}, partial as ({_PARTIAL.replace('from points', 'from chosen')}), final as ({_FINAL}) select {_replace(_DOUBLES)} from final"
+
+
+@query(_CHOSEN)
+def graph_project(spark, sf_dir):
+    """A project of three steps: load, keep two classes, metrics."""
+    g = over_files(Graph.parse(_STEPS), [_table_of(spark, sf_dir, "true")])[0]
+    return rounded(g.compile(spark)["c"]["table"].drop(*metrics.SUMS))
+
+
+@query(_CHOSEN)
+def file_queue(spark, sf_dir):
+    """The same project once for each of two files, and its tables consolidated."""
+    files = [_table_of(spark, sf_dir, w) for w in ("x < 97.5", "x >= 97.5")]
+    parts = [g.compile(spark)["c"]["table"] for g in over_files(Graph.parse(_STEPS), [*files, files[0]])]
+    return rounded(metrics.consolidate_grid(*parts, res=10.0))
+
+
+@query(f"with {P}, partial as ({_PARTIAL}), final as ({_FINAL}) select {_replace(_DOUBLES)} from final")
+def stream_metrics(spark, sf_dir):
+    """A folder of point tables as a stream of micro-batches, whose partials add up."""
+    points = line_points(spark, sf_dir)
+    folder, out = _path(spark, "arrivals"), _path(spark, "partials")
+    points.repartition(3).write.parquet(folder)
+    queue.accumulate(queue.watch(spark, folder, points.schema, 1), out, f"{out}-checkpoint", 10.0).awaitTermination()
+    return rounded(queue.current(spark, out, 10.0))
+
+
+@query(f"with {P}, partial as ({_PARTIAL}), final as ({_FINAL}) select gid, point_count, row_number() over (order by gid) - 1 as rank from final")
+def order_by_gid(spark, sf_dir):
+    """Keyed tables are in the order of gid as text."""
+    return tables.ranked(metrics.grid_metrics(line_points(spark, sf_dir), 10.0).select("gid", "point_count"), ["gid"])
+
+
+@query(f"with {P}, f as (select count(*) as n, 40000e0 as area from points), t as (select *, cast(ceil(area / 2500e0) as bigint) as tiles from f), p as (select *, cast(ceil(n / cast(tiles as double)) as bigint) as per_tile from t) select tiles, per_tile, 4 * per_tile * 64 as peak_bytes, cast(area * 12 as bigint) as mosaic_bytes, greatest(4 * per_tile * 64, area * 12) < 7e5 as fits, least(greatest(n // 3000, 50000), 2000000) as floor from p")
+def preflight(spark, sf_dir):
+    """What a run on the survey would need, and the floor for merging tiles."""
+    n = line_points(spark, sf_dir).count()
+    p = tiling.preflight(n, 40_000.0, 50.0, 4, 1_000_000)
+    return spark.createDataFrame([(p.tiles, p.per_tile, p.peak_bytes, p.mosaic_bytes, p.fits, tiling.suggested_floor(n))], "tiles long, per_tile long, peak_bytes long, mosaic_bytes long, fits boolean, floor long")
+
+
 # --- ground filters: iterative, beyond SQL; tests hold them against scenes of known ground -----------
 
 for _method in ground.KERNELS:
-    query(name=f"ground_{_method}")(lambda s, d, m=_method: ground.classify_ground(_tiled(s, d), m, **({"iterations": 200} if m == "csf" else {})).groupBy("tile_col", "tile_row", "classification").agg(F.count(F.lit(1)).alias("n")))
+    query(name=f"ground_{_method}")(lambda s, d, m=_method: ground.classify_ground(_tiled(s, d), m).groupBy("tile_col", "tile_row", "classification").agg(F.count(F.lit(1)).alias("n")))

@@ -59,8 +59,13 @@ def _deviation(sumsq: Column, mean: Column, n: Column) -> Column:
     return F.sqrt(F.greatest(sumsq / n - mean * mean, F.lit(0.0)))
 
 
-def grid_final(partial: DataFrame, res: float = 1.0) -> DataFrame:
-    """Density, moments, shares; population deviations."""
+#: Sums that a finished table carries for consolidation; others are among its columns already.
+SUMS = ("z_sum", "z_sumsq", "i_n", "i_sum", "i_sumsq", "first_ret", "last_ret", *(f"class_{k}" for k in CLASSES))
+_CARRIED = {"n": "point_count", "ground": "ground_count", "noise": "noise_count", "i_min": "intensity_min", "i_max": "intensity_max", "z_min": "z_min", "z_max": "z_max"}
+
+
+def grid_final(partial: DataFrame, res: float = 1.0, sums: bool = False) -> DataFrame:
+    """Density, moments, shares; population deviations. With sums, the additive columns as well."""
     n = F.col("n")
     some = F.nullif(F.col("i_n"), F.lit(0))
     z_mean, i_mean = F.col("z_sum") / n, F.col("i_sum") / some
@@ -77,26 +82,18 @@ def grid_final(partial: DataFrame, res: float = 1.0) -> DataFrame:
         i_mean.alias("intensity_mean"), _deviation(F.col("i_sumsq"), i_mean, some).alias("intensity_std"), F.col("i_min").alias("intensity_min"), F.col("i_max").alias("intensity_max"),
         F.col("noise").alias("noise_count"), dominant.alias("dominant_class"), (F.col("first_ret") / n).alias("first_return_cover"), (F.col("last_ret") / n).alias("last_return_cover"),
         share(*VEGETATION).alias("veg_cover"), share(BUILDING).alias("building_cover"), share(WATER).alias("water_cover"),
+        *(SUMS if sums else ()),
     )
 
 
-def grid_metrics(points: DataFrame, res: float = 1.0) -> DataFrame:
-    return grid_final(grid_partial(points, res), res)
+def grid_metrics(points: DataFrame, res: float = 1.0, sums: bool = False) -> DataFrame:
+    return grid_final(grid_partial(points, res), res, sums)
 
 
-def consolidate_grid(*finals: DataFrame, res: float = 1.0) -> DataFrame:
-    """Finished tables of several batches as one: sums are rebuilt from means, then finished again."""
-    rows = finals[0]
-    for f in finals[1:]:
-        rows = rows.unionByName(f)
-    n = F.col("point_count")
-    sums = rows.groupBy(*KEY).agg(
-        F.sum(n).alias("point_count"), (F.sum(F.col("z_mean") * n) / F.sum(n)).alias("z_mean"),
-        F.sum((F.col("z_std") * F.col("z_std") + F.col("z_mean") * F.col("z_mean")) * n).alias("__sq"),
-        F.min("z_min").alias("z_min"), F.max("z_max").alias("z_max"), F.sum("ground_count").alias("ground_count"), F.sum("noise_count").alias("noise_count"),
-    )
-    n = F.col("point_count")
-    return sums.select(*KEY, F.concat_ws("_", *KEY).alias("gid"), n, (n / F.lit(float(res * res))).alias("density"), "z_mean", _deviation(F.col("__sq"), F.col("z_mean"), n).alias("z_std"), "z_min", "z_max", (F.col("z_max") - F.col("z_min")).alias("z_range"), "ground_count", (F.col("ground_count") / n).alias("ground_cover"), "noise_count")
+def consolidate_grid(*finals: DataFrame, res: float = 1.0, sums: bool = False) -> DataFrame:
+    """Finished tables of several batches, made with their sums, as one: partials again, merged and finished."""
+    parts = [f.select(*KEY, *[F.col(c).alias(p) for p, c in _CARRIED.items()], *SUMS) for f in finals]
+    return grid_final(merge_partials(*parts), res, sums)
 
 
 def vegetation_heights(points: DataFrame, tile: tuple[str, ...] = ("tile_col", "tile_row"), classes: tuple[int, ...] = ()) -> DataFrame:
@@ -127,11 +124,15 @@ def vegetation_partial(heights: DataFrame, res: float = 1.0) -> DataFrame:
     return bins_as_array(each)
 
 
+def _bins() -> Column:
+    """Counts by bin in the map m as an array."""
+    return F.transform(F.sequence(F.lit(0), F.lit(BINS - 1)), lambda b: F.coalesce(F.element_at("m", b), F.lit(0).cast("long")))
+
+
 def bins_as_array(rows: DataFrame) -> DataFrame:
     """(cell, bin, c) as (cell, bins); repeated bins add up. At most 61 rows meet for each cell."""
     each = rows.groupBy(*KEY, "bin").agg(F.sum("c").alias("c")).groupBy(*KEY).agg(F.map_from_entries(F.collect_list(F.struct("bin", "c"))).alias("m"))
-    bins = F.transform(F.sequence(F.lit(0), F.lit(BINS - 1)), lambda b: F.coalesce(F.element_at("m", b), F.lit(0).cast("long")))
-    return each.select(*KEY, bins.alias("bins"))
+    return each.select(*KEY, _bins().alias("bins"))
 
 
 def merge_histograms(*parts: DataFrame) -> DataFrame:
@@ -144,8 +145,13 @@ def merge_histograms(*parts: DataFrame) -> DataFrame:
 PERCENTILES = (10, 25, 50, 75, 90, 95, 99)
 
 
-def vegetation_final(partial: DataFrame, canopy_threshold: float = 2.0, extinction: float = 0.5) -> DataFrame:
-    """Cover, leaf area, height diversity, strata and percentiles of each cell's height bins.
+def consolidate_vegetation(*finals: DataFrame, canopy_threshold: float = 2.0, extinction: float = 0.5, bins: bool = False) -> DataFrame:
+    """Finished tables of several batches, made with their bins, as one: a cell's bins add up."""
+    return vegetation_final(merge_histograms(*[f.select(*KEY, "bins") for f in finals]), canopy_threshold, extinction, bins)
+
+
+def vegetation_final(partial: DataFrame, canopy_threshold: float = 2.0, extinction: float = 0.5, bins: bool = False) -> DataFrame:
+    """Cover, leaf area, height diversity, strata and percentiles of each cell's height bins; with bins, those as well.
 
     A percentile is the bin in which that part of the points falls, plus the fraction of that bin's
     points below it. Empty bins play no part, so only bins with points are laid out as rows.
@@ -163,7 +169,8 @@ def vegetation_final(partial: DataFrame, canopy_threshold: float = 2.0, extincti
         return F.min(F.when(F.col("below") + c >= F.lit(p / 100.0) * n, F.struct("bin", "below", "c"))).alias(f"__{p}")
 
     strata = {"low": bin_ < 2, "mid": (bin_ >= 2) & (bin_ < 10), "high": bin_ >= 10}
-    sums = rows.groupBy(*KEY).agg(F.first("n").alias("n"), count(bin_ >= int(canopy_threshold)).alias("canopy"), F.sum(-(c / n) * F.ln(c / n)).alias("fhd"), *[count(t).alias(k) for k, t in strata.items()], *map(at, PERCENTILES))
+    kept = [F.map_from_entries(F.collect_list(F.struct("bin", "c"))).alias("m")] if bins else []
+    sums = rows.groupBy(*KEY).agg(*kept, F.first("n").alias("n"), count(bin_ >= int(canopy_threshold)).alias("canopy"), F.sum(-(c / n) * F.ln(c / n)).alias("fhd"), *[count(t).alias(k) for k, t in strata.items()], *map(at, PERCENTILES))
 
     def value(p: int) -> Column:
         part = (F.lit(p / 100.0) * n - F.col(f"__{p}.below")) / F.col(f"__{p}.c")
@@ -172,7 +179,8 @@ def vegetation_final(partial: DataFrame, canopy_threshold: float = 2.0, extincti
     def entropy(k: str) -> Column:
         return F.when(F.col(k) > 0, -(F.col(k) / n) * F.ln(F.col(k) / n)).otherwise(F.lit(0.0))
 
-    out = sums.select(*KEY, "n", "fhd", *strata, (F.col("canopy") / n).alias("cover"), *map(value, PERCENTILES))
+    held = [_bins().alias("bins")] if bins else []
+    out = sums.select(*KEY, *held, "n", "fhd", *strata, (F.col("canopy") / n).alias("cover"), *map(value, PERCENTILES))
     cover = F.col("cover")
     lai = F.when(cover <= 0, F.lit(0.0)).otherwise(F.least(F.lit(5.0), -F.ln(F.greatest(1 - cover, F.lit(1e-9))) / F.lit(extinction)))
     spread = F.col("p90") - F.col("p10")
@@ -180,4 +188,5 @@ def vegetation_final(partial: DataFrame, canopy_threshold: float = 2.0, extincti
         *KEY, n.alias("point_count"), cover, lai.alias("lai"), (1 - cover).alias("vci"), "fhd", (entropy("low") + entropy("mid") + entropy("high")).alias("shannon_h"),
         *[(F.col(k) / n).alias(f"{k}_density") for k in strata], *[f"p{p}" for p in PERCENTILES],
         F.when(spread != 0, (F.col("p90") - 2 * F.col("p50") + F.col("p10")) / spread).alias("l_skewness"),
+        *(["bins"] if bins else []),
     )

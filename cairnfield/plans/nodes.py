@@ -117,17 +117,17 @@ for _name in ("slope", "aspect", "hillshade"):
 
 @node("grid_metrics", PTS, {"table": "grid_metrics"}, res=1.0)
 def _grid(spark, points, res):
-    return {"table": metrics.grid_metrics(points, res)}
+    return {"table": metrics.grid_metrics(points, res, sums=True)}
 
 
 @node("grid_vegetation", PTS, {"table": "grid_vegetation"}, res=1.0, canopy_threshold=2.0, extinction=0.5)
 def _vegetation(spark, points, res, canopy_threshold, extinction):
-    return {"table": metrics.vegetation_final(metrics.vegetation_partial(metrics.vegetation_heights(points), res), canopy_threshold, extinction)}
+    return {"table": metrics.vegetation_final(metrics.vegetation_partial(metrics.vegetation_heights(points), res), canopy_threshold, extinction, bins=True)}
 
 
 @node("consolidate_grid_metrics", {"tables": "grid_metrics"}, {"table": "grid_metrics"}, many=("tables",), res=1.0)
 def _consolidate(spark, tables, res):
-    return {"table": metrics.consolidate_grid(*tables, res=res)}
+    return {"table": metrics.consolidate_grid(*tables, res=res, sums=True)}
 
 
 @node("input_table", {}, {"table": "table_csv"}, path="")
@@ -183,9 +183,9 @@ for _kind in ("table", "vector"):
     node(f"consolidate_{_kind}", {"tables": _kind}, {"table": _kind}, many=("tables",))(lambda spark, tables, f=_kind: {"table": (consolidate_vectors if f == "vector" else consolidate_tables)(*tables)})
 
 
-@node("consolidate_vegetation", {"tables": "grid_vegetation"}, {"table": "grid_vegetation"}, many=("tables",))
-def _consolidate_vegetation(spark, tables):
-    return {"table": consolidate_vectors(*tables)}
+@node("consolidate_vegetation", {"tables": "grid_vegetation"}, {"table": "grid_vegetation"}, many=("tables",), canopy_threshold=2.0, extinction=0.5)
+def _consolidate_vegetation(spark, tables, canopy_threshold, extinction):
+    return {"table": metrics.consolidate_vegetation(*tables, canopy_threshold=canopy_threshold, extinction=extinction, bins=True)}
 
 
 @node("export_points", PTS, {}, path="", crop_buffer=True)
