@@ -93,10 +93,7 @@ def smrf(grid: np.ndarray, cell: float = 1.0, slope: float = 0.2, window: float
         if w >= most:
             break
         level *= 2
-    # Roofs that were due late are cut once more by the largest window.
-    lower = opened(surface, most)
-    limit = threshold + slope * most * cell / 2
-    return np.where(surface - lower > limit, lower, surface), threshold
+    return surface, threshold
 
 
 def csf(grid: np.ndarray, cell: float = 0.5, threshold: float = 0.5, rigidness: int = 3, iterations: int = 1000) -> tuple[np.ndarray, float]:
@@ -200,7 +197,7 @@ class Triangles:
 
 def atin(grid: np.ndarray, cell: float = 1.0, seed: float = 20.0, angle: float = 6.0, distance: float = 1.0, iterations: int = 10) -> tuple[np.ndarray, float]:
     """Adaptive TIN: from the lowest cell of each block, cells join that lie near the plane of their
-    triangle, by height and by the angle to its corners; then the hull grows cell by cell."""
+    triangle, by height and by the angle to its corners; then ground grows over neighbours whose lowest is within the distance."""
     high, wide = grid.shape
     step = max(1, round(seed / cell))
     ground = np.zeros(grid.shape, bool)
@@ -232,12 +229,12 @@ def atin(grid: np.ndarray, cell: float = 1.0, seed: float = 20.0, angle: float =
     while True:
         own = np.pad(np.where(ground, grid, np.inf), 1, constant_values=np.inf)
         lowest = np.min([own[1 + i : 1 + i + high, 1 + j : 1 + j + wide] for i in (-1, 0, 1) for j in (-1, 0, 1)], axis=0)
-        joins = ~ground & np.isfinite(lowest) & (np.abs(grid - np.where(np.isfinite(lowest), lowest, 0)) <= distance * 0.3) & np.isnan(surface)
+        # A void is no ground: its gap is NaN.
+        joins = ~ground & np.isfinite(lowest) & (np.abs(grid - np.where(np.isfinite(lowest), lowest, 0)) <= distance)
         if not joins.any():
             break
         ground |= joins
-    ground_grid = np.where(ground, grid, np.nan)
-    return filled(np.where(np.isnan(ground_grid), surface, ground_grid)), distance * 0.3
+    return np.where(ground, grid, np.nan), distance
 
 
 def _planes(triangles: np.ndarray, p: np.ndarray, grid: np.ndarray, cell: float) -> tuple[np.ndarray, np.ndarray]:
