@@ -413,6 +413,27 @@ def subtile_counts(spark, sf_dir):
     return tiling.with_subtiles(p, TILES, tiling.subdivision_levels(p, TILES, 1000)).groupBy("tile_col", "tile_row", "level", "sub_col", "sub_row").agg(F.count(F.lit(1)).alias("n"))
 
 
+#: Tiles of 25 m, dense in the west; parts of a sixteenth of their side.
+_ADAPT = """s as (select x, y, least(cast(floor(x / 25e0) as bigint), 7) as c, least(cast(floor(y / 25e0) as bigint), 7) as r from points where x < 100 or classification = 6),
+  fine as (select c, r, least(cast(floor((x - c * 25e0) * 16 / 25e0) as bigint), 15) as a, least(cast(floor((y - r * 25e0) * 16 / 25e0) as bigint), 15) as b, count(*) as n from s group by 1, 2, 3, 4),
+  up as (select c, r, l.range as level, a // (16 >> cast(l.range as integer)) as a, b // (16 >> cast(l.range as integer)) as b, sum(n) as n from fine, range(5) l group by all),
+  levels as (select c, r, coalesce(min(level) filter (most <= 450), 4) as level from (select c, r, level, max(n) as most from up group by all) group by all),
+  counts as (select c, r, level, sum(n) as n from fine join levels using (c, r) group by all),
+  spans as (select c, r, level, """ + " ".join(f"sum(n) over (partition by c // {k}, r // {k}) as n{k}, max(level) over (partition by c // {k}, r // {k}) as l{k}," for k in (2, 4, 8)) + """ 0 as z from counts),
+  plan as (select c, r, level, case when n8 <= 800 and l8 = 0 then 8 when n4 <= 800 and l4 = 0 then 4 when n2 <= 800 and l2 = 0 then 2 else 1 end as span from spans),
+  leaves as (select distinct (c // span) * span * 16 + a * (16 >> cast(level as integer)) as tile_col, (r // span) * span * 16 + b * (16 >> cast(level as integer)) as tile_row, span * (16 >> cast(level as integer)) as side from up join plan using (c, r, level)),
+  near as (select tile_col, tile_row, x >= tile_col * 15625e-4 and x < (tile_col + side) * 15625e-4 and y >= tile_row * 15625e-4 and y < (tile_row + side) * 15625e-4 as core
+    from leaves join s on x + 5 >= tile_col * 15625e-4 and x - 5 < (tile_col + side) * 15625e-4 and y + 5 >= tile_row * 15625e-4 and y - 5 < (tile_row + side) * 15625e-4)"""
+
+
+@query(f"with {P}, {_ADAPT} select tile_col, tile_row, count(*) filter (core) as point_count, count(*) as buffered_count from near group by 1, 2 having point_count > 0")
+def adaptive_tiles(spark, sf_dir):
+    """Dense tiles subdivided, sparse ones merged, all with a buffer of 5 m."""
+    p = line_points(spark, sf_dir).where("x < 100 or classification = 6")
+    tiled = tiling.with_adaptive_tiles(p, Tiles(0.0, 0.0, 25.0, 8, 8), 5.0, 500, 800)
+    return tiled.groupBy("tile_col", "tile_row").agg(F.count(F.when(F.col("is_core"), 1)).alias("point_count"), F.count(F.lit(1)).alias("buffered_count")).where("point_count > 0")
+
+
 def _event_counts(spark, sf_dir) -> dict[tuple[int, int], int]:
     """Of tiles, one number each: what a tiling plan is made from."""
     rows = tiling.with_tiles(event_points(spark, sf_dir).where("x + y < 120"), Tiles(0.0, 0.0, 6.25, 16, 16)).groupBy("tile_col", "tile_row").count().collect()
@@ -427,9 +448,12 @@ _STEP = """k{k} as (select c // 2 as c, r // 2 as r, sum(n) as n, bool_and(ok) a
   a as (select k1.c, k1.r, k1.n, case when k8.ok then 8 when k4.ok then 4 when k2.ok then 2 else 1 end as span from k1 join k2 on k2.c = k1.c // 2 and k2.r = k1.r // 2 join k4 on k4.c = k1.c // 4 and k4.r = k1.r // 4 join k8 on k8.c = k1.c // 8 and k8.r = k1.r // 8)
   select cast(c // span * span as bigint) as col, cast(r // span * span as bigint) as row, cast(span as bigint) as span, count(*) as members, cast(sum(n) as bigint) as point_count from a group by 1, 2, 3""")
 def sparse_merge(spark, sf_dir):
-    counts = _event_counts(spark, sf_dir)
-    merged = tiling.merge_sparse(counts, sum(counts.values()) // 20)
-    return spark.createDataFrame([(t.col, t.row, t.span, len(t.members), t.count) for t in merged], "col long, row long, span long, members long, point_count long")
+    """The plan as a table, for any number of tiles; only their total comes to the driver."""
+    own = tiling.with_tiles(event_points(spark, sf_dir).where("x + y < 120"), Tiles(0.0, 0.0, 6.25, 16, 16)).groupBy("tile_col", "tile_row").agg(F.count(F.lit(1)).alias("n")).withColumn("locked", F.lit(False))
+    total = own.agg(F.sum("n")).first()[0] or 0
+    spans = tiling.merged_spans(own, total // 20).join(own, ["tile_col", "tile_row"])
+    at = [(F.floor(F.col(c) / F.col("span")) * F.col("span")).cast("long").alias(n) for c, n in (("tile_col", "col"), ("tile_row", "row"))]
+    return spans.groupBy(*at, F.col("span").cast("long").alias("span")).agg(F.count(F.lit(1)).alias("members"), F.sum("n").alias("point_count"))
 
 
 @query(f"""with recursive {E}, {_EC}, o as (select row_number() over (order by r, c) as k, r, c, n from ec), cap as (select cast(ceil(sum(n) / 7e0) as bigint) as cap from ec),

@@ -6,11 +6,11 @@ import math
 from collections import defaultdict
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.lattice import Tiles
-from ..session import broadcast_if_small
+from ..session import broadcast_if_small, materialise
 
 MOST_LEVELS = 4
 #: No merged tile spans more base tiles than this on a side.
@@ -79,6 +79,56 @@ def with_subtiles(points: DataFrame, tiles: Tiles, levels: DataFrame) -> DataFra
     return rows.select(*points.columns, "tile_col", "tile_row", "level", part(F.col("x"), tiles.x_min, F.col("tile_col")).alias("sub_col"), part(F.col("y"), tiles.y_min, F.col("tile_row")).alias("sub_row"))
 
 
+def merged_spans(counts: DataFrame, floor: int, most_span: int = MOST_SPAN) -> DataFrame:
+    """tile_col, tile_row, span: of tiles (tile_col, tile_row, n, locked) the side, in tiles, of the merged tile that each becomes.
+
+    The same plan as ``merge_sparse`` as a table, for any number of tiles: an aligned block becomes one tile if its points
+    are floor at most and none of its tiles is locked; then so do the blocks within it.
+    """
+    rows, span, spans = counts, 2, F.lit(1)
+    while span <= most_span:
+        block = Window.partitionBy(F.floor(F.col("tile_col") / span), F.floor(F.col("tile_row") / span))
+        rows = rows.withColumns({f"__n{span}": F.sum("n").over(block), f"__l{span}": F.max("locked").over(block)})
+        spans = F.when((F.col(f"__n{span}") <= floor) & ~F.col(f"__l{span}"), F.lit(span)).otherwise(spans)
+        span *= 2
+    return rows.select("tile_col", "tile_row", spans.alias("span"))
+
+
+def with_adaptive_tiles(points: DataFrame, tiles: Tiles, buffer: float = 0.0, cap: int = 0, floor: int = 0) -> DataFrame:
+    """As with_tiles, but tiles of more than cap points are subdivided and blocks of sparse ones merged, buffers included.
+
+    So no tile holds much more than cap points, and operators that work tile by tile are bounded. tile_col and tile_row count
+    the finest parts, 2^MOST_LEVELS to a side of a plain tile, from the survey's corner: those of a tile's least part.
+    """
+    fine = 1 << MOST_LEVELS
+    own = points.select(tiles.col(F.col("x")).alias("tile_col"), tiles.row(F.col("y")).alias("tile_row"))
+    counts = own.groupBy("tile_col", "tile_row").agg(F.count(F.lit(1)).alias("n"))
+    levels = subdivision_levels(points, tiles, cap) if cap else counts.select("tile_col", "tile_row", F.lit(0).alias("level"))
+    plan = counts.join(levels, ["tile_col", "tile_row"])
+    if floor:
+        plan = plan.join(merged_spans(plan.select("tile_col", "tile_row", "n", (F.col("level") > 0).alias("locked")), floor), ["tile_col", "tile_row"])
+    else:
+        plan = plan.withColumn("span", F.lit(1))
+    plan = materialise(plan.select(F.col("tile_col").alias("__c"), F.col("tile_row").alias("__r"), F.col("level").alias("__level"), F.col("span").alias("__span")), "tiles")
+    x, y = F.col("x"), F.col("y")
+    rows = with_tiles(points, tiles, buffer).withColumnsRenamed({"tile_col": "__c", "tile_row": "__r", "is_core": "__core"})
+    rows = rows.join(broadcast_if_small(plan, 1_000_000), ["__c", "__r"])
+    # Of the base tiles of a merged tile, the one nearest to the point's own stands for all.
+    for c, mine in (("__c", tiles.col(x)), ("__r", tiles.row(y))):
+        least = F.floor(F.col(c) / F.col("__span")) * F.col("__span")
+        rows = rows.withColumn(f"{c}0", least).where(F.col(c) == F.least(F.greatest(mine, least), least + F.col("__span") - 1))
+    n = F.pow(F.lit(2), F.col("__level")).cast("int")
+
+    def parts(v: Column, low: float, tile: str, by: float) -> Column:
+        return F.least(F.greatest(F.floor((v + by - (low + F.col(tile) * tiles.size)) * n / tiles.size), F.lit(0)), n - 1).cast("long")
+
+    for v, low, c in ((x, tiles.x_min, "__c"), (y, tiles.y_min, "__r")):
+        rows = rows.select("*", parts(v, low, c, 0.0).alias(f"{c}own"), F.explode(F.sequence(parts(v, low, c, -buffer), parts(v, low, c, buffer))).alias(f"{c}part"))
+    core = F.col("__core") & (F.col("__cown") == F.col("__cpart")) & (F.col("__rown") == F.col("__rpart"))
+    at = [(F.col(f"{c}0") * fine + F.col(f"{c}part") * (F.lit(fine) / n)).cast("long").alias(name) for c, name in (("__c", "tile_col"), ("__r", "tile_row"))]
+    return rows.select(*points.columns, *at, core.alias("is_core"))
+
+
 @dataclass(frozen=True)
 class MergedTile:
     col: int

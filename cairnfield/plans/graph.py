@@ -115,20 +115,31 @@ class Graph:
 
     def problems(self) -> list[str]:
         """Why the graph can't run; empty if it can."""
+        return self.errors() + self.blocks()
+
+    def blocks(self) -> list[str]:
+        """What is missing: files that aren't chosen, inputs that aren't wired."""
         out = []
         for k, (i, config) in self.nodes.items():
             if i not in NODES:
-                out.append(f"{k}: there is no step {i}")
                 continue
             n = NODES[i]
-            if extra := set(config) - set(n.defaults):
-                out.append(f"{k}: no such setting: {', '.join(sorted(extra))}")
             if "path" in n.defaults and not n.inputs and not config.get("path"):
                 out.append(f"{k}: no file is chosen")
             into = [e for e in self.edges if e.dst == k]
             for name, kind in n.inputs.items():
                 if name not in n.optional and not any(ports.fits(e.out_type, kind) for e in into):
                     out.append(f"{k}: input {name} ({kind}) isn't wired")
+        return out
+
+    def errors(self) -> list[str]:
+        """What is wrong: unknown steps or settings, ports that don't fit, cycles."""
+        out = []
+        for k, (i, config) in self.nodes.items():
+            if i not in NODES:
+                out.append(f"{k}: there is no step {i}")
+            elif extra := set(config) - set(NODES[i].defaults):
+                out.append(f"{k}: no such setting: {', '.join(sorted(extra))}")
         for e in self.edges:
             if not ports.fits(e.out_type, e.in_type):
                 out.append(f"{e.src} - {e.dst}: {e.out_type} doesn't fit {e.in_type}")

@@ -53,8 +53,8 @@ def _points_node(id: str, run, **defaults) -> None:
     node(id, PTS, PTS, **defaults)(lambda spark, points, **s: {"points": run(points, **s)})
 
 
-@node("load_points", {}, PTS, path="", tile_size=100.0, buffer=10.0)
-def _load(spark: SparkSession, path: str, tile_size: float, buffer: float) -> dict:
+@node("load_points", {}, PTS, path="", tile_size=100.0, buffer=10.0, max_points_per_tile=0, merge_sparse_below=0)
+def _load(spark: SparkSession, path: str, tile_size: float, buffer: float, max_points_per_tile: int, merge_sparse_below: int) -> dict:
     if path.endswith(".las"):
         from ..sources.las import read_las
 
@@ -62,7 +62,10 @@ def _load(spark: SparkSession, path: str, tile_size: float, buffer: float) -> di
     else:
         df = spark.read.parquet(path)
     b = df.agg(F.min("x"), F.min("y"), F.max("x"), F.max("y")).first()
-    return {"points": tiling.with_tiles(df, Tiles.over(*[float(v or 0) for v in b], tile_size), buffer)}
+    tiles = Tiles.over(*[float(v or 0) for v in b], tile_size)
+    if max_points_per_tile or merge_sparse_below:
+        return {"points": tiling.with_adaptive_tiles(df, tiles, buffer, max_points_per_tile, merge_sparse_below)}
+    return {"points": tiling.with_tiles(df, tiles, buffer)}
 
 
 _points_node("elevation_range", points.elevation_range, low=-100.0, high=100_000.0, action="classify", target_class=7, protect_ground=True)

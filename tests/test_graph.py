@@ -6,6 +6,7 @@ import pytest
 
 from cairnfield import cli
 from cairnfield.plans import ports
+from cairnfield.plans.nodes import NODES
 from cairnfield.plans.graph import Graph, ProjectError, over_files
 from cairnfield.streaming import queue
 
@@ -78,9 +79,34 @@ def test_command_line(spark, tmp_path, capsys):
     doc["nodes"][0]["config"] = {}
     path.write_text(json.dumps(doc))
     assert cli.main(["validate", str(path)]) == 2
+    doc["nodes"][0]["config"] = {"nothing": 1}
+    path.write_text(json.dumps(doc))
+    capsys.readouterr()
+    assert cli.main(["validate", str(path)]) == 1
+    found = json.loads(capsys.readouterr().out)
+    assert not found["valid"] and len(found["errors"]) == 1 and len(found["blocks"]) == 1
     path.write_text("{")
-    assert cli.main(["validate", str(path)]) == 3
+    assert cli.main(["validate", str(path)]) == 1 and cli.main(["run"]) == 1
     assert cli.main(["nodes"]) == 0 and "grid_metrics" in capsys.readouterr().out
+    doc["nodes"][0]["config"] = {"path": str(tmp_path / "a.csv")}
+    path.write_text(json.dumps(doc))
+    assert cli.main(["run", str(path), "--out", str(tmp_path / "more"), "--json"]) == 0
+    report = json.loads(capsys.readouterr().out)
+    assert report["status"] == "ok" and report["products"][0]["node"] == "c"
+    doc["nodes"][0]["config"] = {"path": str(tmp_path / "none.csv")}
+    path.write_text(json.dumps(doc))
+    assert cli.main(["run", str(path), "--out", str(tmp_path / "none"), "--json"]) == 3
+    assert json.loads(capsys.readouterr().out)["status"] == "failed"
+
+
+def test_loader_bounds_tiles(spark, cloud):
+    whole = NODES["load_points"].run(spark, path=cloud, tile_size=50.0, buffer=5.0, max_points_per_tile=40, merge_sparse_below=0)["points"]
+    core = whole.where("is_core").groupBy("tile_col", "tile_row").count()
+    assert core.agg({"count": "sum"}).first()[0] == 400 and core.agg({"count": "max"}).first()[0] <= 40
+    merged = NODES["load_points"].run(spark, path=cloud, tile_size=5.0, buffer=2.0, max_points_per_tile=0, merge_sparse_below=50)["points"]
+    plain = NODES["load_points"].run(spark, path=cloud, tile_size=5.0, buffer=2.0, max_points_per_tile=0, merge_sparse_below=0)["points"]
+    tiles = [d.select("tile_col", "tile_row").distinct().count() for d in (merged, plain)]
+    assert tiles[0] < tiles[1] / 2 and merged.where("is_core").count() == 400
 
 
 def test_stream_equals_batch(spark, cloud, tmp_path):

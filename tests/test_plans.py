@@ -9,7 +9,7 @@ from cairnfield import contract
 SF = "/root/testdata/sf0.001"
 PYTHON = {"sor", "ror", "clip_polygon", "clip_polygon_buffer", *(q for q in contract.QUERIES if q.startswith("ground_"))}
 #: Made from plans on the driver, one row a tile.
-LOCAL = {"sparse_merge", "batches"}
+LOCAL = {"batches"}
 #: Written to files and read by data sources in Python.
 FILES = {"las_round_trip", "las_folder_ids", "las_union_area", "geotiff_round_trip", "ascii_grid_round_trip", "gpkg_round_trip", "preflight"}
 
