@@ -242,6 +242,53 @@ def test_held_out_languages(spark):
     assert right > 0.97
 
 
+def test_decoding_by_hand():
+    """The nearest codeword by weighted losses, its share and lead, bit by bit."""
+    rng = np.random.default_rng(5)
+    texts = [t.encode() for t in ("das haus ist gross und der hund", "the house is big and the dog", "la maison est grande et le chien", "x", "")]
+    codes = language_id.codebook(5)
+    trust = rng.random(codes.shape)
+    m = language_id.Model(list("abcde"), codes, trust / trust.sum(1, keepdims=True), rng.normal(0, 3, (language_id.DIM, codes.shape[1])).astype(np.float32), rng.normal(size=codes.shape[1]).astype(np.float32))
+    x = language_id.grams(texts)
+    best, share, lead = language_id.decode(m, x)
+    for i in range(len(texts)):
+        loss = []
+        for lang in range(5):
+            f = [float(x[i].astype(float) @ m.weights[:, b].astype(float)) + float(m.bias[b]) for b in range(codes.shape[1])]
+            loss.append(sum(m.trust[lang, b] * np.log1p(np.exp(-codes[lang, b] * f[b])) for b in range(codes.shape[1])))
+        p = np.exp((min(loss) - np.array(loss)) * codes.shape[1])
+        p /= p.sum()
+        assert best[i] == int(np.argmin(loss)) and abs(share[i] - p.max()) < 1e-4 and abs(lead[i] - (np.sort(p)[-1] - np.sort(p)[-2])) < 1e-4
+
+
+def test_predictions_are_those_of_the_model(spark):
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    m = language_id.train(docs, ~queries.remainder_is(4, 2))
+    texts = {r["doc_id"]: r["text"] for r in docs.collect()}
+    for r in queries.op1_language_id(spark, SF).collect():
+        t = texts[r["doc_id"]]
+        if not t or not any(c.isalpha() for c in t):
+            assert (r["lang_pred"], r["score"], r["ambiguous"]) == ("und", 0.0, True)
+            continue
+        best, share, lead = language_id.decode(m, language_id.grams([t.encode()]))
+        assert r["lang_pred"] == m.langs[best[0]] and abs(r["score"] - share[0]) < 1e-4 and r["ambiguous"] == (lead[0] < 0.2)
+
+
+def test_long_texts(spark, docs):
+    """Texts of megabytes, whole, beside short ones, in every operator on texts."""
+    long = " ".join(f"w{i % 5000} the" for i in range(150_000))
+    df = docs([long, "short text here", None, long + " end"], langs=["en"] * 4)
+    assert language_id.identify(df, language_id.train(df, F.lit(True))).count() == 4
+    scored = {r["doc_id"]: r["n_tokens"] for r in lm_scoring.train_and_score(df, F.lit(True)).collect()}
+    assert scored == {0: 300_001, 1: 4, 2: 1, 3: 300_002}
+    gone = {r["doc_id"]: (r["n_words"], r["n_removed"]) for r in substring_dedup.dedup(df).collect()}
+    assert gone == {0: (300_000, 300_000), 1: (3, 0), 2: (0, 0), 3: (300_001, 300_000)}
+    bench = spark.createDataFrame([(1, " ".join(f"w{i} the" for i in range(4980, 5000)) + " w0 the w1 the end")], "item_id long, text string")
+    found = decontamination.contaminated(df, bench).collect()
+    assert sorted(r["doc_id"] for r in found) == [0, 3] and all(r["similarity"] >= 0.8 for r in found)
+    assert toxicity.score(df, toxicity.Model()).count() == 4
+
+
 def test_language_edges(docs):
     df = docs([None, "", "12 34 !!", "ein haus", "a house", "das haus ist", "the house is"], langs=[None, "de", "de", "de", "en", "de", "en"])
     m = language_id.train(df, F.lit(True))
@@ -277,12 +324,61 @@ def test_base_scores_and_proper_model(spark):
     assert sum(r["score"] for r in held) > sum(r["base_score"] for r in held)
 
 
-def test_class_probabilities_add_up():
+def test_unit_probabilities_add_up():
     rng = np.random.default_rng(0)
-    runs = np.unique(rng.integers(0, lm_scoring.CLASSES**3, 5000))
-    table = lm_scoring.train(runs, np.ones(len(runs)), steps=20).table()
-    assert table.shape == (lm_scoring.CLASSES**2, lm_scoring.CLASSES)
-    assert np.allclose((10.0**table).sum(1), 1, atol=1e-4)
+    u = lm_scoring.UNITS
+    runs, last = rng.integers(0, u**3, 5000), rng.integers(0, 49, u)
+    units = lm_scoring.train(runs, np.bincount(runs % u, minlength=u), last, steps=20)
+    assert sorted(units.place) == list(range(u))
+    every = np.arange(u)
+    for one, two in rng.integers(0, u, (5, 2)):
+        assert abs((10 ** units.logs(every, np.full(u, one), np.full(u, two))).sum() - 1) < 1e-4
+
+
+def test_pairs_of_words_are_learned():
+    """Words that follow one another get far more than their share of all tokens."""
+    rng = np.random.default_rng(1)
+    u = lm_scoring.UNITS
+    one = rng.integers(0, 40, 20_000)
+    w = np.where(rng.random(20_000) < 0.9, (one * 7 + 3) % 40, rng.integers(0, 40, 20_000))
+    runs = (rng.integers(0, 40, 20_000) * u + one) * u + w
+    units = lm_scoring.train(runs, np.bincount(w, minlength=u), np.arange(u) % 49)
+    own = np.arange(40)
+    follows = 10 ** units.logs((own * 7 + 3) % 40, own, own)
+    assert np.median(follows) > 0.5
+
+
+def test_scores_by_hand(spark):
+    """Every score of held-out rows from the model's numbers, token by token."""
+    table = spark.read.parquet(f"{SF}/documents.parquet")
+    model, counts = lm_scoring.fit(table.where(~queries.remainder_is(5, 1)), steps=60)
+    rows = table.where(queries.remainder_is(5, 1)).limit(12)
+    got = {r["doc_id"]: r["score"] for r in lm_scoring.score(rows, model, counts).collect()}
+    low = lambda t: [re.sub(b"[A-Z]", lambda m: m[0].lower(), w.encode()) for w in words(t)] + [b""]
+    texts = {r["doc_id"]: low(r["text"]) for r in rows.collect()}
+    c = Counter(w for r in table.where(~queries.remainder_is(5, 1)).collect() for w in low(r["text"]))
+    ids = dict(zip(c, lm_scoring._hashes(list(c)).tolist(), strict=True))
+    unit = lambda w: model.top.get(int(lm_scoring._hashes([w])[0]), lm_scoring.END if not w else lm_scoring.tail_class(w[-1]))
+    n, v = Counter(), Counter()
+    for w, k in c.items():
+        if w and ids[w] not in model.top:
+            n[unit(w)] += k
+            v[unit(w)] += 1
+    assert n and len(model.top) == lm_scoring.TOP
+    m = model.units
+    soft = lambda z: z - z.max() - np.log(np.exp(z - z.max()).sum())
+    for d, tokens in texts.items():
+        total, one, two = 0.0, lm_scoring.END, lm_scoring.END
+        for w in tokens:
+            u = unit(w)
+            q = m.near[one] @ m.mix[0] + m.far[two] @ m.mix[1]
+            g, slot = divmod(int(m.place[u]), lm_scoring.SLOTS)
+            of = slice(g * lm_scoring.SLOTS, (g + 1) * lm_scoring.SLOTS)
+            total += (soft(m.group @ q + m.group_bias)[g] + soft(m.unit[of] @ q + m.unit_bias[of])[slot]) / np.log(10)
+            if u > lm_scoring.END:
+                total += np.log10((c[w] + 0.5) / (n[u] + 0.5 * (v[u] + 1)))
+            one, two = u, one
+        assert abs(got[d] - total) < 1e-3 * len(tokens), d
 
 
 def test_rare_words_are_looked_up(spark, docs, monkeypatch):
