@@ -188,7 +188,7 @@ def train(docs: DataFrame, labels: DataFrame, in_training: Column, max_rows: int
             rows = [terms[a:b].tobytes() for a, b in zip(offsets, offsets[1:], strict=False)]
             yield pa.RecordBatch.from_arrays([batch.column("doc_id").cast(pa.int64()), batch.column("y"), pa.array(rows, pa.binary())], names=["doc_id", "y", "terms"])
 
-    got = sample.mapInArrow(run, "doc_id long, y double, terms binary").toPandas().sort_values(["doc_id", "terms"]).reset_index(drop=True)
+    got = sample.mapInArrow(run, "doc_id long, y double, terms binary").toArrow().to_pandas().sort_values(["doc_id", "terms"]).reset_index(drop=True)
     parts = [np.frombuffer(x, np.uint64) for x in got.terms]
     return fit(np.concatenate([*parts, np.zeros(0, np.uint64)]), np.cumsum([0, *map(len, parts)]), got.y.to_numpy(float), **options)
 
