@@ -125,7 +125,7 @@ def train(docs: DataFrame, in_training: Column, per_lang: int = 500, max_langs:
                 x = grams(texts[lo : lo + ROWS]).astype(np.float16)
                 yield pa.RecordBatch.from_arrays([batch.column("lang").slice(lo, len(x)), pa.array([r.tobytes() for r in x], pa.binary())], names=["lang", "x"])
 
-    got = sample.mapInArrow(run, "lang string, x binary").toPandas().sort_values(["lang", "x"])
+    got = sample.mapInArrow(run, "lang string, x binary").toArrow().to_pandas().sort_values(["lang", "x"])
     if got.empty:
         return fit(np.zeros((0, DIM), np.float32), langs[:1], np.zeros(0, int))
     seen = sorted(set(got.lang))
