@@ -147,7 +147,7 @@ def nearest(table: DataFrame, every: int = 100, k: int = 10, rerank: int = 64, b
     rows = usable(table)
     total = rows.count()
     part = int(min(1.0, sample / max(total, 1)) * (1 << 30))
-    drawn = rows.where(F.pmod(F.xxhash64("vec_id"), F.lit(1 << 30)) < part).orderBy("vec_id").toPandas()
+    drawn = rows.where(F.pmod(F.xxhash64("vec_id"), F.lit(1 << 30)) < part).orderBy("vec_id").toArrow().to_pandas()
     if drawn.empty:
         return rows.select(F.col("vec_id").alias("query_id"), F.lit(1).alias("rank"), "vec_id", F.lit(0.0).alias("score")).limit(0)
     book = train(np.stack(drawn.embedding.to_numpy()))
