@@ -251,29 +251,57 @@ def band_keys(prints: np.ndarray, tables: int, bits: int, seed: int = 9) -> np.n
     return np.stack([(t << bits) + unpacked[:, p] @ powers for t, p in enumerate(places)], 1)
 
 
+def trees(prints: np.ndarray, group: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(keys, kids): BK-trees of fingerprints of two words, one a group, grown together level by level.
+
+    group: numbers of groups, in order. A group's first row is its root, and rows go in by their order, so a
+    node's descendants come after it. keys are parent * 256 + distance, in order, of the nodes in kids.
+    """
+    first = np.searchsorted(group, group)
+    rows = np.flatnonzero(first != np.arange(len(group)))
+    at = first[rows]
+    keys, kids = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+    while len(rows):
+        key, one, of = np.unique(at * 256 + apart(prints[rows], prints[at]), return_index=True, return_inverse=True)
+        keys.append(key)
+        kids.append(rows[one])
+        down = np.ones(len(rows), bool)
+        down[one] = False
+        rows, at = rows[down], rows[one][of[down]]
+    keys, kids = np.concatenate(keys), np.concatenate(kids)
+    order = np.argsort(keys)
+    return keys[order], kids[order]
+
+
 def near_earlier(prints: np.ndarray, group: np.ndarray, radius: int, most: int, few: int = 256) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(i, j, distance), j < i, of one group: for each row the ``most`` nearest earlier ones within the radius.
 
-    group: numbers of groups, in order. Rows of groups up to ``few`` are compared at each shift at once; larger
-    groups row block by row block.
+    group: numbers of groups, in order. Each group is a BK-tree, which each of its rows searches: it walks down
+    edges within the radius of its own distance, to nodes before it. Searchers of few * 1024 pairs at most, or one, walk
+    together.
     """
-    sizes = np.bincount(group)
-    found = []
-    shallow = sizes[group] <= few
-    for s in range(1, min(few, int(sizes[sizes <= few].max(initial=1)))):
-        i = np.flatnonzero(shallow[s:] & (group[s:] == group[:-s])) + s
-        d = apart(prints[i], prints[i - s])
-        near = d <= radius
-        found.append((i[near], i[near] - s, d[near]))
-    starts = np.searchsorted(group, np.arange(len(sizes)))
-    for g in np.flatnonzero(sizes > few):
-        own = np.arange(starts[g], starts[g] + sizes[g])
-        for lo in range(0, len(own), 256):
-            rows = own[lo : lo + 256]
-            d = apart(prints[rows][:, None], prints[own[: lo + 256]][None])
-            i, j = np.nonzero((d <= radius) & (own[: lo + 256][None] < rows[:, None]))
-            found.append((rows[i], own[j], d[i, j]))
-    i, j, d = (np.concatenate([f[k] for f in found] or [np.zeros(0, np.int64)]) for k in range(3))
+    keys, kids = trees(prints, group)
+    first = np.searchsorted(group, group)
+    behind = np.cumsum(np.arange(len(group)) - first)
+    found = [(np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.int16))]
+    lo = 0
+    while lo < len(group):
+        hi = max(lo + 1, int(np.searchsorted(behind, (behind[lo - 1] if lo else 0) + few * 1024, "right")))
+        i = lo + np.flatnonzero(first[lo:hi] != np.arange(lo, hi))
+        j = first[i]
+        while len(i):
+            d = apart(prints[i], prints[j])
+            near = d <= radius
+            found.append((i[near], j[near], d[near]))
+            edge = j * 256 + d
+            low = np.searchsorted(keys, np.maximum(edge - radius, j * 256))
+            n = np.searchsorted(keys, np.minimum(edge + radius, j * 256 + 255), "right") - low
+            i = np.repeat(i, n)
+            j = kids[np.arange(len(i)) + np.repeat(low - (np.cumsum(n) - n), n)]
+            before = j < i
+            i, j = i[before], j[before]
+        lo = hi
+    i, j, d = (np.concatenate([f[k] for f in found]) for k in range(3))
     order = np.lexsort((j, d, i))
     i, j, d = i[order], j[order], d[order]
     kept = np.arange(len(i)) - np.searchsorted(i, i) < most
@@ -316,7 +344,7 @@ def reach(prints: np.ndarray, group: np.ndarray, radius: int, few: int = 256) ->
 def candidates(prints: DataFrame, radius: int = 32, tables: int = 128, bits: int = 16, part_rows: int = 1024) -> DataFrame:
     """(a, b, d): links that connect all pairs of fingerprints (fp, fp2) within the radius that agree in all bits of some table.
 
-    A bucket gives a spanning forest of its pairs (``reach``), so that a group of copies gives links of its
+    A bucket is a shard with a BK-tree of its own, which all its fingerprints search, and gives a spanning forest of the pairs found (``reach``), so that a group of copies gives links of its
     size and not of its square, and no pair within the radius is left unconnected. Buckets of many
     rows, found in a sixteenth of the fingerprints, are cut into parts, and every pair of parts meets.
     """

@@ -177,6 +177,30 @@ def test_near_earlier_against_all_pairs():
         assert (nd.apart(prints[i], prints[j]) == d).all()
 
 
+def test_buckets_are_searched_by_trees(monkeypatch):
+    """Each bucket is a BK-tree: siblings differ in their distance to the parent, and a search leaves out what the distances rule out."""
+    rng = np.random.default_rng(7)
+    prints = rng.integers(0, 2**63, (600, 2)).astype(np.uint64)
+    prints[60:] = prints[rng.integers(0, 60, 540)] ^ (np.uint64(1) << rng.integers(0, 60, (540, 2)).astype(np.uint64))
+    group = np.sort(rng.integers(0, 2, 600))
+    keys, kids = nd.trees(prints, group)
+    assert len(set(keys.tolist())) == len(kids) == 598 and sorted([*kids, *np.searchsorted(group, [0, 1])]) == list(range(600))
+    assert (keys // 256 < kids).all() and (group[keys // 256] == group[kids]).all()
+    assert (nd.apart(prints[keys // 256], prints[kids]) == keys % 256).all()
+    seen = [0]
+
+    def counted(x, y, f=nd.apart):
+        d = f(x, y)
+        seen[0] += d.size
+        return d
+
+    brute = {(a, b) for a in range(600) for b in range(a) if group[a] == group[b] and nd.apart(prints[a], prints[b]) <= 4}
+    monkeypatch.setattr(nd, "apart", counted)
+    i, j, _ = nd.near_earlier(prints, group, 4, 1000)
+    assert set(zip(i.tolist(), j.tolist(), strict=True)) == brute
+    assert 0 < seen[0] < sum(n * (n - 1) // 2 for n in np.bincount(group).tolist()) / 2
+
+
 def same_classes(texts, least=0.8):
     """Position of the first text of each text's class, by all pairs."""
     sets = [set(nd.shingle_hashes(t.encode(), 5).tolist()) for t in texts]
