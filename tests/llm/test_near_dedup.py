@@ -125,6 +125,19 @@ def test_pages_of_one_line_stay(docs):
     assert sorted(r["doc_id"] for r in nd.first_of_each(docs(texts)).collect()) == [0, 1, 2]
 
 
+def test_written_tables_leave_no_unused_memory(spark):
+    """The driver's heap shrinks with every table written, or many small plans fill all of it."""
+    from cairnfield.session import materialise, trim
+
+    runtime = spark.sparkContext._jvm.java.lang.Runtime.getRuntime()
+    junk = [spark.sparkContext._gateway.new_array(spark.sparkContext._jvm.long, 1 << 23) for _ in range(12)]
+    large = runtime.totalMemory()
+    del junk
+    assert materialise(spark.range(3), "few").count() == 3
+    assert runtime.totalMemory() - runtime.freeMemory() < large - (1 << 29)
+    assert trim(spark) in (True, False)
+
+
 def test_long_chain_is_one_component(spark):
     links = spark.range(200).selectExpr("id a", "id + 1 b").union(spark.sql("select 500L a, 501L b")).union(spark.sql("select 9L a, 9L b"))
     got = {r["node"]: r["root"] for r in components(links).collect()}
