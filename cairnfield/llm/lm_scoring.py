@@ -11,9 +11,9 @@ in training. So a text's log10 probability is proper over
 known words and one unknown word for each shared unit.
 
 What is learned covers all training rows: every word's count (a word is kept as 64 bits
-of hash), and with it the noise, the shares and which words are units. The vectors are fitted by NCE on runs of three
-units, drawn from all training tokens by a hash of text and place, ``most_runs`` of them or so: the documented bound of the
-fit. The model has a fixed size and is broadcast, as are the HEAD commonest words. Rarer words are
+of hash), and with it the noise, the shares and which words are units. The vectors are fitted by NCE on the runs of three
+units of every training token: few on the driver, many on the executors, whose models are averaged (``train_all``).
+The model has a fixed size and is broadcast, as are the HEAD commonest words. Rarer words are
 looked up by a join on the hash, which has no hot key, as hot words are in the head.
 
 Edge cases: a null text is empty, one end; with no training row all counts are zero
@@ -24,6 +24,7 @@ BLOCK tokens; other columns aren't read, whatever their names.
 
 from __future__ import annotations
 
+import itertools
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -43,6 +44,8 @@ END = TOP
 HEAD = 1 << 17
 #: Tokens whose rows of the softmax are held at once.
 BLOCK = 1 << 15
+#: Tokens that a task shuffles at once in training, and pieces in which models are summed.
+HELD, PIECES = 1 << 18, 64
 
 
 def tail_class(last: int) -> int:
@@ -94,24 +97,24 @@ def count_words(docs: DataFrame) -> DataFrame:
     return rows.groupBy("word").agg(F.min("tail").alias("tail"), F.sum("n").alias("n"))
 
 
-def drawn_runs(docs: DataFrame, top: dict[int, int], total: int, most: int) -> DataFrame:
-    """run (three units as one number): of most of all tokens of docs or so, by a hash of text and place."""
+def coded(docs: DataFrame, top: dict[int, int]) -> DataFrame:
+    """units: of each row, all its tokens' units and the end, 16 bits each."""
     shared = docs.sparkSession.sparkContext.broadcast(top)
-    limit = np.uint64(min(int(min(1.0, most / max(total, 1)) * 2**64), 2**64 - 1))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for _, texts in chunks(batches, "text"):
             codes, offsets, words = tokens_of(texts)
-            k = units_of(words, shared.value, _hashes(words))[codes]
-            one, two = contexts(k, offsets)
-            doc = np.repeat(np.arange(len(texts)), np.diff(offsets))
-            x = _hashes([t or b"" for t in texts]).view(np.uint64)[doc] + (np.arange(len(k)) - offsets[doc]).astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)
-            x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
-            x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
-            at = (x ^ (x >> np.uint64(31))) <= limit
-            yield pa.RecordBatch.from_arrays([pa.array((two[at] * UNITS + one[at]) * UNITS + k[at])], names=["run"])
+            k = units_of(words, shared.value, _hashes(words))[codes].astype("<u2")
+            yield pa.RecordBatch.from_arrays([pa.array([k[a:b].tobytes() for a, b in zip(offsets, offsets[1:], strict=False)], pa.binary())], names=["units"])
 
-    return docs.select("text").mapInArrow(run, "run long")
+    return docs.select("text").mapInArrow(run, "units binary")
+
+
+def runs_of(cells: list[bytes]) -> np.ndarray:
+    """A run, three units as one number, for every token of coded texts."""
+    k = np.frombuffer(b"".join(cells), "<u2").astype(np.int64)
+    one, two = contexts(k, np.cumsum([0, *(len(c) // 2 for c in cells)]))
+    return (two * UNITS + one) * UNITS + k
 
 
 def places(last: np.ndarray) -> np.ndarray:
@@ -167,60 +170,141 @@ def _sigmoid(x: np.ndarray) -> np.ndarray:
     return 1 / (1 + np.exp(-np.clip(x, -60, 60)))
 
 
-def train(runs: np.ndarray, n: np.ndarray, last: np.ndarray, dim: int = 16, noise: int = 24, few: int = 4, batch: int = 4096, steps: int = 800, epochs: int = 8, seed: int = 11) -> LogBilinear:
-    """NCE at both levels: a real group against noise groups, a real unit against noise units of its group.
+@dataclass
+class Noise:
+    """What noise is drawn from: the units' shares of all training tokens, by place."""
 
-    n: the units' counts, whose shares are the noise; a unit that no training token has gets half a count. last: the tail class of each unit's word.
-    """
-    rng = np.random.default_rng(seed)
-    # Few runs aren't gone over so often that they are learned by heart.
-    steps = min(steps, -(-epochs * len(runs) // batch))
+    place: np.ndarray
+    group_share: np.ndarray
+    unit_share: np.ndarray  # of its group
+    group_sums: np.ndarray
+    unit_sums: np.ndarray
+
+
+def noise_of(n: np.ndarray, last: np.ndarray) -> Noise:
+    """n: the units' counts; a unit that no training token has gets half a count. last: the tail class of each unit's word."""
     place = places(last)
     by_place = np.empty(UNITS)
     by_place[place] = n + 0.5
     sums = by_place.reshape(GROUPS, SLOTS).sum(1)
-    group_share, unit_share = sums / sums.sum(), by_place / np.repeat(sums, SLOTS)
+    group_share = sums / sums.sum()
+    return Noise(place, group_share, by_place / np.repeat(sums, SLOTS), np.cumsum(group_share), np.cumsum(by_place) / by_place.sum())
+
+
+def started(shares: Noise, rng: np.random.Generator, dim: int) -> tuple[list[np.ndarray], list[np.ndarray]]:
+    """(parameters, their mean squared gradients) before the first step."""
     near, far, unit = (rng.normal(0, 0.1, (UNITS, dim)) for _ in range(3))
     group = rng.normal(0, 0.1, (GROUPS, dim))
-    params = [p.astype(np.float32) for p in (near, far, np.eye(dim), np.eye(dim), group, np.log(group_share), unit, np.log(unit_share))]
-    squares = [np.full_like(p, 1e-8) for p in params]
-    group_sums, unit_sums = np.cumsum(group_share), np.cumsum(by_place) / by_place.sum()
-    base = np.concatenate([[0.0], group_sums])
+    params = [p.astype(np.float32) for p in (near, far, np.eye(dim), np.eye(dim), group, np.log(shares.group_share), unit, np.log(shares.unit_share))]
+    return params, [np.full_like(p, 1e-8) for p in params]
+
+
+def stepped(params: list[np.ndarray], squares: list[np.ndarray], drawn: np.ndarray, shares: Noise, rng: np.random.Generator, rate: float, noise: int, few: int) -> None:
+    """One step of NCE at both levels, in place: a real group against noise groups, a real unit against noise units of its group."""
+    near, far, c1, c2, group, group_bias, unit, unit_bias = params
+    batch, dim = len(drawn), near.shape[1]
+    base = np.concatenate([[0.0], shares.group_sums])
+    w, one, two = shares.place[drawn % UNITS], drawn // UNITS % UNITS, drawn // UNITS**2
+    g = w // SLOTS
+    q = near[one] @ c1 + far[two] @ c2
+    # Groups: all examples of a batch share the noise, so its products are dense.
+    fake = np.minimum(np.searchsorted(shares.group_sums, rng.random(GROUPS)), GROUPS - 1)
+    extra = np.log(noise * shares.group_share).astype(np.float32)
+    real = -_sigmoid(-((q * group[g]).sum(1) + group_bias[g] - extra[g])) / batch
+    false = _sigmoid(q @ group[fake].T + group_bias[fake] - extra[fake]) * np.float32(noise / GROUPS / batch)
+    dq = real[:, None] * group[g] + false @ group[fake]
+    d_group = _scattered(g, real[:, None] * q, GROUPS) + _scattered(fake, false.T @ q, GROUPS)
+    d_group_bias = np.bincount(g, real, GROUPS) + np.bincount(fake, false.sum(0), GROUPS)
+    # Units: noise from the real unit's own group.
+    u = base[g][:, None] + rng.random((batch, few)) * shares.group_share[g][:, None]
+    wrong = np.clip(np.searchsorted(shares.unit_sums, u), (g * SLOTS)[:, None], (g * SLOTS + SLOTS - 1)[:, None])
+    extra = np.log(few * shares.unit_share).astype(np.float32)
+    real = -_sigmoid(-((q * unit[w]).sum(1) + unit_bias[w] - extra[w])) / batch
+    false = _sigmoid(np.einsum("bd,bfd->bf", q, unit[wrong]) + unit_bias[wrong] - extra[wrong]) / batch
+    dq += real[:, None] * unit[w] + np.einsum("bf,bfd->bd", false, unit[wrong])
+    rows = np.concatenate([w, wrong.ravel()])
+    d_unit = _scattered(rows, np.concatenate([real[:, None] * q, (false[:, :, None] * q[:, None]).reshape(-1, dim)]), UNITS)
+    d_unit_bias = np.bincount(rows, np.concatenate([real, false.ravel()]), UNITS)
+    grads = [_scattered(one, dq @ c1.T, UNITS), _scattered(two, dq @ c2.T, UNITS), near[one].T @ dq, far[two].T @ dq, d_group, d_group_bias, d_unit, d_unit_bias]
+    for p, d, sq in zip(params, grads, squares, strict=True):
+        sq *= np.float32(0.99)
+        d = d.astype(np.float32)
+        sq += np.float32(0.01) * d**2
+        p -= np.float32(rate) * d / (np.sqrt(sq) + np.float32(1e-7))
+
+
+def fitted(params: list[np.ndarray], shares: Noise) -> LogBilinear:
+    near, far, c1, c2, *rest = (p.astype(np.float32) for p in params)
+    return LogBilinear(near, far, (c1, c2), *rest, shares.place)
+
+
+def train(runs: np.ndarray, n: np.ndarray, last: np.ndarray, dim: int = 16, noise: int = 24, few: int = 4, batch: int = 4096, steps: int = 800, epochs: int = 8, seed: int = 11) -> LogBilinear:
+    """The model of few runs, drawn again and again."""
+    rng = np.random.default_rng(seed)
+    # Few runs aren't gone over so often that they are learned by heart.
+    steps = min(steps, -(-epochs * len(runs) // batch))
+    shares = noise_of(n, last)
+    params, squares = started(shares, rng, dim)
     for step in range(steps):
-        near, far, c1, c2, group, group_bias, unit, unit_bias = params
-        drawn = runs[rng.integers(0, len(runs), batch)]
-        w, one, two = place[drawn % UNITS], drawn // UNITS % UNITS, drawn // UNITS**2
-        g = w // SLOTS
-        q = near[one] @ c1 + far[two] @ c2
-        # Groups: all examples of a batch share the noise, so its products are dense.
-        fake = np.minimum(np.searchsorted(group_sums, rng.random(GROUPS)), GROUPS - 1)
-        extra = np.log(noise * group_share).astype(np.float32)
-        real = -_sigmoid(-((q * group[g]).sum(1) + group_bias[g] - extra[g])) / batch
-        false = _sigmoid(q @ group[fake].T + group_bias[fake] - extra[fake]) * np.float32(noise / GROUPS / batch)
-        dq = real[:, None] * group[g] + false @ group[fake]
-        d_group = _scattered(g, real[:, None] * q, GROUPS) + _scattered(fake, false.T @ q, GROUPS)
-        d_group_bias = np.bincount(g, real, GROUPS) + np.bincount(fake, false.sum(0), GROUPS)
-        # Units: noise from the real unit's own group.
-        u = base[g][:, None] + rng.random((batch, few)) * group_share[g][:, None]
-        wrong = np.clip(np.searchsorted(unit_sums, u), (g * SLOTS)[:, None], (g * SLOTS + SLOTS - 1)[:, None])
-        extra = np.log(few * unit_share).astype(np.float32)
-        real = -_sigmoid(-((q * unit[w]).sum(1) + unit_bias[w] - extra[w])) / batch
-        false = _sigmoid(np.einsum("bd,bfd->bf", q, unit[wrong]) + unit_bias[wrong] - extra[wrong]) / batch
-        dq += real[:, None] * unit[w] + np.einsum("bf,bfd->bd", false, unit[wrong])
-        rows = np.concatenate([w, wrong.ravel()])
-        d_unit = _scattered(rows, np.concatenate([real[:, None] * q, (false[:, :, None] * q[:, None]).reshape(-1, dim)]), UNITS)
-        d_unit_bias = np.bincount(rows, np.concatenate([real, false.ravel()]), UNITS)
-        grads = [_scattered(one, dq @ c1.T, UNITS), _scattered(two, dq @ c2.T, UNITS), near[one].T @ dq, far[two].T @ dq, d_group, d_group_bias, d_unit, d_unit_bias]
-        rate = 0.3 * (0.1 * (1 - step / steps) + 0.005)
-        for p, d, sq in zip(params, grads, squares, strict=True):
-            sq *= np.float32(0.99)
-            d = d.astype(np.float32)
-            sq += np.float32(0.01) * d**2
-            p -= np.float32(rate) * d / (np.sqrt(sq) + np.float32(1e-7))
-    near, far, c1, c2, group, group_bias, unit, unit_bias = (p.astype(np.float32) for p in params)
+        stepped(params, squares, runs[rng.integers(0, len(runs), batch)], shares, rng, 0.3 * (0.1 * (1 - step / steps) + 0.005), noise, few)
     if not len(runs):
-        near, far, group, unit = near * 0, far * 0, group * 0, unit * 0
-    return LogBilinear(near, far, (c1, c2), group, group_bias, unit, unit_bias, place)
+        for k in (0, 1, 4, 6):
+            params[k] *= 0
+    return fitted(params, shares)
+
+
+def train_all(cells: DataFrame, n: np.ndarray, last: np.ndarray, dim: int = 16, noise: int = 24, few: int = 4, batch: int = 4096, rounds: int = 8, seed: int = 11) -> LogBilinear:
+    """The model of all tokens of coded texts, each of which is learned from once.
+
+    In each round every task goes over its next share of texts, from the model of the round before; the mean of the
+    tasks' models, weighted by their tokens, is that of the round. It is summed by pieces in a shuffle, so
+    the driver gets one model a round, whatever the number of tasks.
+    """
+    sc = cells.sparkSession.sparkContext
+    shares = noise_of(n, last)
+    params, squares = started(shares, np.random.default_rng(seed), dim)
+    for r in range(rounds):
+        shared = sc.broadcast((params, squares, shares))
+        rate = 0.3 * (0.1 * (1 - (r + 0.5) / rounds) + 0.005)
+
+        def learn(batches: Iterator[pa.RecordBatch], r=r, shared=shared, rate=rate) -> Iterator[pa.RecordBatch]:
+            old, old_squares, shares = shared.value
+            params, squares = [p.copy() for p in old], [p.copy() for p in old_squares]
+            rng = np.random.default_rng((seed, r, TaskContext.get().partitionId()))
+            seen, row, held, size = 0, 0, [], 0
+            for b in itertools.chain(batches, [None]):
+                if b is not None:
+                    new = b.column("units").slice((r - row) % rounds).to_pylist()[::rounds]
+                    row += b.num_rows
+                    held += new
+                    size += sum(map(len, new)) // 2
+                if held and (b is None or size >= HELD):
+                    runs = rng.permutation(runs_of(held))
+                    for drawn in np.array_split(runs, -(-len(runs) // batch)):
+                        stepped(params, squares, drawn, shares, rng, rate, noise, few)
+                    seen, held, size = seen + size, [], 0
+            if seen:
+                flat = np.array_split(np.concatenate([p.ravel() for p in (*params, *squares)]), PIECES)
+                yield pa.RecordBatch.from_arrays([pa.array(range(PIECES), pa.int32()), pa.array([seen] * PIECES, pa.int64()), pa.array([x.tobytes() for x in flat], pa.binary())], names=["piece", "n", "x"])
+
+        def summed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            sums: dict[int, list] = {}
+            for b in batches:
+                for piece, m, x in zip(*(b.column(c).to_pylist() for c in ("piece", "n", "x")), strict=True):
+                    own = sums.setdefault(piece, [0, 0.0])
+                    own[0] += m
+                    own[1] = own[1] + m * np.frombuffer(x, np.float32).astype(np.float64)
+            rows = sorted((p, m, x.tobytes()) for p, (m, x) in sums.items())
+            yield pa.RecordBatch.from_arrays([pa.array([v[k] for v in rows], t) for k, t in enumerate((pa.int32(), pa.int64(), pa.binary()))], names=["piece", "n", "x"])
+
+        shape = "piece int, n long, x binary"
+        got = cells.mapInArrow(learn, shape).repartition("piece").mapInArrow(summed, shape).toArrow().sort_by("piece")
+        flat = np.concatenate([np.frombuffer(x, np.float64) / m for x, m in zip(got.column("x").to_pylist(), got.column("n").to_pylist(), strict=True)]).astype(np.float32)
+        ends = np.cumsum([p.size for p in (*params, *squares)])
+        parts = [x.reshape(p.shape) for x, p in zip(np.split(flat, ends[:-1]), (*params, *squares), strict=True)]
+        params, squares = parts[: len(params)], parts[len(params) :]
+        shared.unpersist()
+    return fitted(params, shares)
 
 
 @dataclass
@@ -234,8 +318,11 @@ class Model:
     unit_logs: np.ndarray  # log10 of each shared unit's denominator, zero elsewhere
 
 
-def fit(docs: DataFrame, most_runs: int = 1 << 20, **options) -> tuple[Model, DataFrame]:
-    """The model of all rows of docs, and their word counts (word, n)."""
+def fit(docs: DataFrame, local: int = 1 << 20, part: int = 1 << 21, **options) -> tuple[Model, DataFrame]:
+    """The model of all rows of docs, and their word counts (word, n).
+
+    Up to ``local`` tokens are learned from on the driver, more on the executors in parts of about ``part`` tokens.
+    """
     counts = materialise(count_words(docs), "words")
     release(docs.sparkSession)
     sums = counts.agg(F.sum("n"), F.count(F.lit(1))).first()
@@ -252,9 +339,14 @@ def fit(docs: DataFrame, most_runs: int = 1 << 20, **options) -> tuple[Model, Da
     unit_logs[shared["tail"]] = np.log10(shared["n"] + 0.5 * (shared["v"] + 1))
     n[: len(words)], n[END], n[shared["tail"]] = words.n, head.n[head.word == end].sum(), shared["n"]
     last[: len(words)], last[TOP + 1 :] = words["tail"] - TOP - 1, np.arange(TAIL)
-    runs = np.sort(drawn_runs(docs, top, total, most_runs).toArrow().column("run").to_numpy())
+    cells = coded(docs, top)
+    if total <= local:
+        units = train(np.sort(runs_of(cells.toArrow().column("units").to_pylist())), n, last, **options)
+    else:
+        units = train_all(materialise(cells.repartition(-(-total // part)), "units"), n, last, **options)
+        release(docs.sparkSession)
     head = head.sort_values("word")
-    model = Model(total, int(sums[1]), head.word.to_numpy(np.int64), np.log10(head.n.to_numpy(float) + 0.5), top, train(runs, n, last, **options), unit_logs)
+    model = Model(total, int(sums[1]), head.word.to_numpy(np.int64), np.log10(head.n.to_numpy(float) + 0.5), top, units, unit_logs)
     return model, counts.select("word", "n")
 
 

@@ -348,6 +348,25 @@ def test_pairs_of_words_are_learned():
     assert np.median(follows) > 0.5
 
 
+def test_every_token_is_learned_from(docs):
+    """Runs are those of all tokens, and models that tasks learn from parts of them make one."""
+    rng = np.random.default_rng(3)
+    texts = [" ".join(f"w{v}" for v in rng.integers(0, 40, 30)) for _ in range(200)] + [None, "", "only once"]
+    df = docs(texts).repartition(5)
+    top = {int(h): k for k, h in enumerate(lm_scoring._hashes([f"w{v}".encode() for v in range(40)]))}
+    want = Counter()
+    for t in texts:
+        k = [lm_scoring.END, lm_scoring.END, *lm_scoring.units_of(x := [w.encode() for w in words(t)] + [b""], top, lm_scoring._hashes(x)).tolist()]
+        want.update((a * lm_scoring.UNITS + b) * lm_scoring.UNITS + c for a, b, c in zip(k, k[1:], k[2:], strict=False))
+    cells = lm_scoring.coded(df, top)
+    assert Counter(lm_scoring.runs_of([r["units"] for r in cells.collect()]).tolist()) == want
+    pairs = docs([" ".join(f"w{(3 * v + i) % 40} w{(3 * v + i) % 40 + 40}" for i in range(30)) for v in range(400)]).repartition(3)
+    model, _ = lm_scoring.fit(pairs, local=0, part=8000, batch=64)
+    unit = lambda w: model.top[int(lm_scoring._hashes([w.encode()])[0])]
+    one = np.array([unit(f"w{v}") for v in range(40)])
+    assert np.median(10 ** model.units.logs(np.array([unit(f"w{v + 40}") for v in range(40)]), one, one)) > 0.05
+
+
 def test_scores_by_hand(spark):
     """Every score of held-out rows from the model's numbers, token by token."""
     table = spark.read.parquet(f"{SF}/documents.parquet")
