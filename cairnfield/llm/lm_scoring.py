@@ -43,11 +43,16 @@ TOP = UNITS - 1 - TAIL
 END = TOP
 HEAD = 1 << 17
 #: Tokens whose rows of the softmax are held at once.
-BLOCK = 1 << 15
+BLOCK = 1 << 14
 #: Tokens that a task shuffles at once in training, and pieces in which models are summed.
 HELD, PIECES = 1 << 18, 64
 
 
+def keep_freed() -> None:
+    """Arrays of each step take the memory of the step before. glibc keeps freed blocks of up to the largest that was freed; others would be mapped, page by page, again and again."""
+    np.empty(1 << 24, np.uint8)
+
+
 def tail_class(last: int) -> int:
     """Of a word by its last byte: letters apart, other ASCII in 6, other bytes in 16 classes."""
     lower = last | 32
@@ -138,32 +143,52 @@ class LogBilinear:
     def logs(self, w: np.ndarray, one: np.ndarray, two: np.ndarray) -> np.ndarray:
         """log10 probabilities of units after their contexts."""
         near, far = self.near @ self.mix[0], self.far @ self.mix[1]
+        bias = self.unit_bias.reshape(GROUPS, SLOTS)
         out = np.empty(len(w), np.float64)
         for lo in range(0, len(w), BLOCK):
             part = slice(lo, lo + BLOCK)
-            at = self.place[w[part]]
-            g, slot = at // SLOTS, at % SLOTS
-            q = near[one[part]] + far[two[part]]
-            here = _picked(q @ self.group.T + self.group_bias, g)
-            order = np.argsort(g, kind="stable")
-            edges = np.searchsorted(g[order], np.arange(GROUPS + 1))
-            for i in np.flatnonzero(np.diff(edges)):
-                own = order[edges[i] : edges[i + 1]]
-                of = slice(i * SLOTS, (i + 1) * SLOTS)
-                here[own] += _picked(q[own] @ self.unit[of].T + self.unit_bias[of], slot[own])
-            out[part] = here
+            order, g, slot = _by_group(self.place[w[part]])
+            q = near.take(one[part][order], 0)
+            q += far.take(two[part][order], 0)
+            z = q @ self.group.T
+            z += self.group_bias
+            here = _picked(z, g)
+            for own, of in _blocks(g):
+                np.matmul(q[own], self.unit[of].T, out=z[own])
+                z[own] += bias[of.start // SLOTS]
+            here += _picked(z, slot)
+            out[part][order] = here
         return out / np.log(10)
 
 
+def _by_group(at: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(order by group, groups and slots in that order) of places: products with a group's units are then of dense blocks."""
+    order = np.argsort((at // SLOTS).astype(np.uint8), kind="stable")
+    at = at[order]
+    return order, at // SLOTS, at % SLOTS
+
+
+def _blocks(g: np.ndarray) -> Iterator[tuple[slice, slice]]:
+    """(rows, places of their group's units) for each group in g, which is in order."""
+    edges = np.searchsorted(g, np.arange(GROUPS + 1)).tolist()
+    for i, (a, b) in enumerate(itertools.pairwise(edges)):
+        if a < b:
+            yield slice(a, b), slice(i * SLOTS, (i + 1) * SLOTS)
+
+
 def _picked(z: np.ndarray, k: np.ndarray) -> np.ndarray:
-    """Logarithm of the softmax of each row at one place."""
-    z = z - z.max(1, keepdims=True)
-    return (z[np.arange(len(z)), k] - np.log(np.exp(z).sum(1))).astype(np.float64)
+    """Logarithm of the softmax of each row at one place; z is overwritten."""
+    if max(z.max(), -z.min()) > 60:
+        # Some exponential might not fit 32 bits.
+        z -= z.max(1, keepdims=True)
+    own = z[np.arange(len(z)), k].astype(np.float64)
+    return own - np.log(np.exp(z, out=z) @ np.ones(z.shape[1], z.dtype))
 
 
 def _scattered(rows: np.ndarray, values: np.ndarray, n: int) -> np.ndarray:
     """Sums of the values' rows by number."""
-    return np.stack([np.bincount(rows, values[:, j], n) for j in range(values.shape[1])], 1)
+    dim = values.shape[1]
+    return np.bincount((rows[:, None] * dim + np.arange(dim)).ravel(), values.ravel(), n * dim).reshape(n, dim)
 
 
 def _sigmoid(x: np.ndarray) -> np.ndarray:
@@ -178,7 +203,37 @@ class Noise:
     group_share: np.ndarray
     unit_share: np.ndarray  # of its group
     group_sums: np.ndarray
-    unit_sums: np.ndarray
+    # Alias tables of each group's slots: a slot stands with this chance, else its other slot of the group does.
+    stays: np.ndarray
+    other: np.ndarray
+
+    def groups(self, rng: np.random.Generator) -> np.ndarray:
+        """How often each group is drawn, in GROUPS draws."""
+        return np.bincount(np.minimum(np.searchsorted(self.group_sums, rng.random(GROUPS)), GROUPS - 1), minlength=GROUPS)
+
+    def slots(self, g: np.ndarray, few: int, rng: np.random.Generator) -> np.ndarray:
+        """few rows of slots, one for each group of g, by their shares of that group."""
+        slot = rng.integers(0, SLOTS, (few, len(g)))
+        at = slot + g * SLOTS
+        moved = rng.random(at.shape) >= self.stays.take(at)
+        slot[moved] = self.other.take(at[moved])
+        return slot
+
+
+def _aliases(shares: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Walker's alias tables of rows of shares, each of which adds up to 1."""
+    left, other = shares * shares.shape[1], np.tile(np.arange(shares.shape[1]), (len(shares), 1))
+    for own, to in zip(left, other, strict=True):
+        low, high = (list(np.flatnonzero(x)) for x in (own < 1, own >= 1))
+        while low and high:
+            i, j = low.pop(), high[-1]
+            to[i] = j
+            own[j] -= 1 - own[i]
+            if own[j] < 1:
+                low.append(high.pop())
+        # What rounding has left over stands for itself.
+        own[[*low, *high]] = 1
+    return left.ravel(), other.ravel()
 
 
 def noise_of(n: np.ndarray, last: np.ndarray) -> Noise:
@@ -187,8 +242,8 @@ def noise_of(n: np.ndarray, last: np.ndarray) -> Noise:
     by_place = np.empty(UNITS)
     by_place[place] = n + 0.5
     sums = by_place.reshape(GROUPS, SLOTS).sum(1)
-    group_share = sums / sums.sum()
-    return Noise(place, group_share, by_place / np.repeat(sums, SLOTS), np.cumsum(group_share), np.cumsum(by_place) / by_place.sum())
+    group_share, unit_share = sums / sums.sum(), by_place / np.repeat(sums, SLOTS)
+    return Noise(place, group_share, unit_share, np.cumsum(group_share), *_aliases(unit_share.reshape(GROUPS, SLOTS)))
 
 
 def started(shares: Noise, rng: np.random.Generator, dim: int) -> tuple[list[np.ndarray], list[np.ndarray]]:
@@ -202,35 +257,53 @@ def started(shares: Noise, rng: np.random.Generator, dim: int) -> tuple[list[np.
 def stepped(params: list[np.ndarray], squares: list[np.ndarray], drawn: np.ndarray, shares: Noise, rng: np.random.Generator, rate: float, noise: int, few: int) -> None:
     """One step of NCE at both levels, in place: a real group against noise groups, a real unit against noise units of its group."""
     near, far, c1, c2, group, group_bias, unit, unit_bias = params
-    batch, dim = len(drawn), near.shape[1]
-    base = np.concatenate([[0.0], shares.group_sums])
-    w, one, two = shares.place[drawn % UNITS], drawn // UNITS % UNITS, drawn // UNITS**2
-    g = w // SLOTS
-    q = near[one] @ c1 + far[two] @ c2
+    batch = len(drawn)
+    order, g, slot = _by_group(shares.place[drawn % UNITS])
+    one, two = drawn[order] // UNITS % UNITS, drawn[order] // UNITS**2
+    a, b, rows = near.take(one, 0), far.take(two, 0), np.arange(batch)
+    q = a @ c1 + b @ c2
     # Groups: all examples of a batch share the noise, so its products are dense.
-    fake = np.minimum(np.searchsorted(shares.group_sums, rng.random(GROUPS)), GROUPS - 1)
-    extra = np.log(noise * shares.group_share).astype(np.float32)
-    real = -_sigmoid(-((q * group[g]).sum(1) + group_bias[g] - extra[g])) / batch
-    false = _sigmoid(q @ group[fake].T + group_bias[fake] - extra[fake]) * np.float32(noise / GROUPS / batch)
-    dq = real[:, None] * group[g] + false @ group[fake]
-    d_group = _scattered(g, real[:, None] * q, GROUPS) + _scattered(fake, false.T @ q, GROUPS)
-    d_group_bias = np.bincount(g, real, GROUPS) + np.bincount(fake, false.sum(0), GROUPS)
+    z = q @ -group.T
+    z += np.log(noise * shares.group_share).astype(np.float32) - group_bias
+    real = _sigmoid(z[rows, g]) / -batch
+    # The sigmoids in place: an exponential that doesn't fit stands for zero.
+    with np.errstate(over="ignore"):
+        np.exp(z, out=z)
+    z += 1
+    np.divide((shares.groups(rng) * (noise / GROUPS / batch)).astype(np.float32), z, out=z)
+    z[rows, g] += real
+    dq, d_group, d_group_bias = z @ group, z.T @ q, np.ones(batch, np.float32) @ z
     # Units: noise from the real unit's own group.
-    u = base[g][:, None] + rng.random((batch, few)) * shares.group_share[g][:, None]
-    wrong = np.clip(np.searchsorted(shares.unit_sums, u), (g * SLOTS)[:, None], (g * SLOTS + SLOTS - 1)[:, None])
-    extra = np.log(few * shares.unit_share).astype(np.float32)
-    real = -_sigmoid(-((q * unit[w]).sum(1) + unit_bias[w] - extra[w])) / batch
-    false = _sigmoid(np.einsum("bd,bfd->bf", q, unit[wrong]) + unit_bias[wrong] - extra[wrong]) / batch
-    dq += real[:, None] * unit[w] + np.einsum("bf,bfd->bd", false, unit[wrong])
-    rows = np.concatenate([w, wrong.ravel()])
-    d_unit = _scattered(rows, np.concatenate([real[:, None] * q, (false[:, :, None] * q[:, None]).reshape(-1, dim)]), UNITS)
-    d_unit_bias = np.bincount(rows, np.concatenate([real, false.ravel()]), UNITS)
-    grads = [_scattered(one, dq @ c1.T, UNITS), _scattered(two, dq @ c2.T, UNITS), near[one].T @ dq, far[two].T @ dq, d_group, d_group_bias, d_unit, d_unit_bias]
+    blocks = list(_blocks(g))
+    for own, of in blocks:
+        np.matmul(q[own], unit[of].T, out=z[own])
+    slots = np.concatenate([slot[None], shares.slots(g, few, rng)])
+    at, places = slots + rows * SLOTS, slots + g * SLOTS
+    x = z.take(at) + (unit_bias - np.log(few * shares.unit_share).astype(np.float32)).take(places)
+    x[0] *= -1
+    x = _sigmoid(x) / batch
+    x[0] *= -1
+    z.fill(0)
+    flat = z.reshape(-1)
+    for i, v in zip(at, x, strict=True):
+        flat[i] += v
+    d_unit, d_unit_bias, more = np.zeros_like(unit), np.bincount(places.ravel(), x.ravel(), UNITS), np.empty_like(dq)
+    for own, of in blocks:
+        np.matmul(z[own], unit[of], out=more[own])
+        np.matmul(z[own].T, q[own], out=d_unit[of])
+    dq += more
+    grads = [_scattered(one, dq @ c1.T, UNITS), _scattered(two, dq @ c2.T, UNITS), a.T @ dq, b.T @ dq, d_group, d_group_bias, d_unit, d_unit_bias]
     for p, d, sq in zip(params, grads, squares, strict=True):
+        d = d.astype(np.float32, copy=False)
+        x = d * d
+        x *= np.float32(0.01)
         sq *= np.float32(0.99)
-        d = d.astype(np.float32)
-        sq += np.float32(0.01) * d**2
-        p -= np.float32(rate) * d / (np.sqrt(sq) + np.float32(1e-7))
+        sq += x
+        np.sqrt(sq, out=x)
+        x += np.float32(1e-7)
+        np.divide(d, x, out=x)
+        x *= np.float32(rate)
+        p -= x
 
 
 def fitted(params: list[np.ndarray], shares: Noise) -> LogBilinear:
@@ -240,6 +313,7 @@ def fitted(params: list[np.ndarray], shares: Noise) -> LogBilinear:
 
 def train(runs: np.ndarray, n: np.ndarray, last: np.ndarray, dim: int = 16, noise: int = 24, few: int = 4, batch: int = 4096, steps: int = 800, epochs: int = 8, seed: int = 11) -> LogBilinear:
     """The model of few runs, drawn again and again."""
+    keep_freed()
     rng = np.random.default_rng(seed)
     # Few runs aren't gone over so often that they are learned by heart.
     steps = min(steps, -(-epochs * len(runs) // batch))
@@ -268,6 +342,7 @@ def train_all(cells: DataFrame, n: np.ndarray, last: np.ndarray, dim: int = 16,
         rate = 0.3 * (0.1 * (1 - (r + 0.5) / rounds) + 0.005)
 
         def learn(batches: Iterator[pa.RecordBatch], r=r, shared=shared, rate=rate) -> Iterator[pa.RecordBatch]:
+            keep_freed()
             old, old_squares, shares = shared.value
             params, squares = [p.copy() for p in old], [p.copy() for p in old_squares]
             rng = np.random.default_rng((seed, r, TaskContext.get().partitionId()))
@@ -355,6 +430,7 @@ def _partial(docs: DataFrame, model: Model) -> DataFrame:
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        keep_freed()
         m, part, row = shared.value, TaskContext.get().partitionId(), 0
         for batch, texts in chunks(batches, "text"):
             codes, offsets, words = tokens_of(texts)
